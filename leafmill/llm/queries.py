@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding, simhash, token_counts, token_orc
+from . import language_model, packing, sharding, simhash, token_counts, token_orc, warc
 
 
 def vocabulary(name: str) -> str:
@@ -22,6 +22,10 @@ def op2_two_pass_shards(spark, sf_dir):
     return sharding.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_token_orc(spark, sf_dir):
     return token_orc.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
 
@@ -30,6 +34,10 @@ def op6_word_piece_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op7_lattice_lm(spark, sf_dir):
+    return language_model.score(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op8_best_two_fit(spark, sf_dir):
     return packing.best_two_fit(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
 
@@ -39,8 +47,8 @@ def op10_simhash(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_two_pass_shards, op5_token_orc, op6_word_piece_counts, op8_best_two_fit, op10_simhash)}
+    return {f.__name__: f for f in (op2_two_pass_shards, op4_warc, op5_token_orc, op6_word_piece_counts, op7_lattice_lm, op8_best_two_fit, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc": warc.ORACLE}
