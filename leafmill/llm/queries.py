@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_model, packing, sharding, simhash, token_counts, token_orc, warc
+from . import decontaminate, language_model, packing, sharding, simhash, token_counts, token_orc, warc
 
 
 def vocabulary(name: str) -> str:
@@ -22,6 +22,10 @@ def op2_two_pass_shards(spark, sf_dir):
     return sharding.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op3_qgram_decontamination(spark, sf_dir):
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -47,7 +51,7 @@ def op10_simhash(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_two_pass_shards, op4_warc, op5_token_orc, op6_word_piece_counts, op7_lattice_lm, op8_best_two_fit, op10_simhash)}
+    return {f.__name__: f for f in (op2_two_pass_shards, op3_qgram_decontamination, op4_warc, op5_token_orc, op6_word_piece_counts, op7_lattice_lm, op8_best_two_fit, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
