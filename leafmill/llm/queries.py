@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_model, packing, sharding, simhash, token_counts, token_orc, warc
+from . import decontaminate, language_model, line_dedup, packing, sharding, simhash, token_counts, token_orc, warc
 
 
 def vocabulary(name: str) -> str:
@@ -46,12 +46,16 @@ def op8_best_two_fit(spark, sf_dir):
     return packing.best_two_fit(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+def op9_line_dedup(spark, sf_dir):
+    return line_dedup.summary(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark, sf_dir):
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_two_pass_shards, op3_qgram_decontamination, op4_warc, op5_token_orc, op6_word_piece_counts, op7_lattice_lm, op8_best_two_fit, op10_simhash)}
+    return {f.__name__: f for f in (op2_two_pass_shards, op3_qgram_decontamination, op4_warc, op5_token_orc, op6_word_piece_counts, op7_lattice_lm, op8_best_two_fit, op9_line_dedup, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
