@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_model, line_dedup, packing, sharding, simhash, token_counts, token_orc, warc
+from . import decontaminate, language_model, line_dedup, packing, quality, sharding, simhash, token_counts, token_orc, warc
 
 
 def vocabulary(name: str) -> str:
@@ -18,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark, sf_dir):
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_two_pass_shards(spark, sf_dir):
     return sharding.round_trip(table(spark, sf_dir, "documents"))
 
@@ -55,8 +59,8 @@ def op10_simhash(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_two_pass_shards, op3_qgram_decontamination, op4_warc, op5_token_orc, op6_word_piece_counts, op7_lattice_lm, op8_best_two_fit, op9_line_dedup, op10_simhash)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_two_pass_shards, op3_qgram_decontamination, op4_warc, op5_token_orc, op6_word_piece_counts, op7_lattice_lm, op8_best_two_fit, op9_line_dedup, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.ORACLE}
+    return {"op1_quality_rules": quality.ORACLE, "op4_warc": warc.ORACLE}
