@@ -12,6 +12,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ PRIOR = 1000.0
 #: Cells of a block: words times places.
 BLOCK = 1 << 18
 #: Words whose counts every task holds, at most; the other words' counts are joined.
-HEAD = 100_000
+HEAD = 300_000
 
 
 @dataclass
@@ -190,7 +191,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def fit(counts: DataFrame, start: Pieces, rounds: int = 4) -> Pieces:
+def fit(counts: DataFrame, start: Pieces, rounds: int = 3) -> Pieces:
     """Expectation-maximisation over all distinct words; each task sums its own words, the driver gets one sum a piece."""
     spark, pieces = counts.sparkSession, start
     prior = np.exp(start.logp) * PRIOR
@@ -218,7 +219,7 @@ def fit(counts: DataFrame, start: Pieces, rounds: int = 4) -> Pieces:
 _MODELS: dict[str, tuple] = {}
 
 
-def score(docs: DataFrame, model: str, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
+def score(docs: DataFrame, model: str, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
     Null and empty texts are the end alone; a null doc_id hashes as the empty string; repeated rows are each scored
@@ -252,24 +253,27 @@ def score(docs: DataFrame, model: str, rounds: int = 4, id_col: str = "doc_id",
         end = float(lattice.logp[-1] / np.log(10))
         row = TaskContext.get().partitionId() << 40
         for batch in slices(batches, weigh="text"):
-            if len(cache) > 600_000:
+            if len(cache) > 900_000:
                 cache.clear()
             texts = [lower_words_of(x) for x in batch.column(1).to_pylist()]
             sets = [set(x) for x in texts]
-            new = list(set().union(*sets) - cache.keys())
+            new = list(set().union(*sets).difference(cache))
             cache.update(zip(new, lattice.log10(new).tolist()))
             out: list[list] = [[] for _ in range(6)]
             for words, kinds in zip(texts, sets):
-                rare = kinds - known.keys()
+                rare = kinds.difference(known)
                 seen = Counter(filter(rare.__contains__, words)) if rare else {}
-                base = [known[w] for w in words if w not in rare] if rare else list(map(known.__getitem__, words))
-                for c, v in zip(out, (len(words) + 1, len(base), sum(base), sum(map(cache.__getitem__, words)) + end, list(seen.items()), row)):
+                base = sum(map(known.get, words, repeat(0.0)))
+                for c, v in zip(out, (len(words) + 1, len(words) - sum(seen.values()), base, sum(map(cache.__getitem__, words)) + end, list(seen.items()), row)):
                     c.append(v)
                 row += 1
             for w in new:
                 if len(w) > 64:
                     del cache[w]
-            pairs = pa.array([[{"word": w, "k": k} for w, k in x] for x in out[4]], pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int32())])))
+            flat = [pair for own in out[4] for pair in own]
+            starts = np.concatenate([[0], np.cumsum([len(own) for own in out[4]])]).astype(np.int32)
+            columns = [pa.array([w for w, _ in flat], pa.binary()), pa.array([k for _, k in flat], pa.int32())]
+            pairs = pa.ListArray.from_arrays(pa.array(starts), pa.StructArray.from_arrays(columns, ["word", "k"]))
             yield pa.RecordBatch.from_arrays([pa.array(out[5], pa.int64()), batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64()), pairs], ["row", "doc_id", "n_tokens", "n_head", "head_sum", "score", "rare"])
 
     scored = materialize(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, n_head long, head_sum double, score double, rare array<struct<word:binary,k:int>>"), "lm-scored")
