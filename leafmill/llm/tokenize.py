@@ -9,15 +9,18 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
+from unicodedata import is_normalized
 
 #: White space as the byte-level pre-tokenizer's \s knows it (Python's adds 0x1C-0x1F).  Fixed values.
 _S = "\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680))) + f"{chr(0x2000)}-{chr(0x200A)}" + "".join(map(chr, (0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: A word with its one leading space; a lone line feed; any other run of white space with the word after it.
 _BYTE_CHUNKS = re.compile(f" ?[^{_S}]+|\n(?=[^{_S}])|[{_S}]+[^{_S}]*")
+#: The byte-level letters: printable Latin-1 bytes stand for themselves, the others for U+0100 onwards in order.
+_PLAIN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_LETTERS = {b: chr(0x100 + k) for k, b in enumerate(sorted({*range(256)} - _PLAIN))}
 #: Words that the cache holds at most, and the longest that it keeps.
-CACHE_WORDS, CACHE_CHARS = 800_000, 64
+CACHE_WORDS, CACHE_CHARS = 1_200_000, 64
 
 
 class WordEncoder:
@@ -28,6 +31,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaced, self.cache = Tokenizer.from_file(path), spaced, {}
+        self.model = self.tokenizer.model
+        self.ends = ".," if spaced else b".,"
 
     def chunks(self, text: str) -> list:
         if self.spaced:
@@ -36,20 +41,33 @@ class WordEncoder:
         # The normalizer lower-cases anyway; only special tokens, which begin with "<|", are matched before it.
         return raw.split() if b"<|" in raw else raw.lower().split()
 
+    def word(self, x) -> bytes:
+        """Ids of one chunk.  Letters alone (after one space at most) are one pre-token: the model takes it directly."""
+        text = x if self.spaced else x.decode("utf-8", "replace")
+        if (text[1:] if self.spaced and text[:1] == " " else text).isalpha() and (self.spaced or x.isascii() or text == text.lower() and is_normalized("NFC", text)):
+            letters = text.replace(" ", _BYTE_LETTERS[32]) if text.isascii() else text.encode("utf-8", "surrogatepass").decode("latin-1").translate(_BYTE_LETTERS)
+            return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        parts = [self.chunks(t) if t else [] for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = list(set().union(*parts) - self.cache.keys())
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            encoded = self.tokenizer.encode_batch_fast([x if self.spaced else x.decode("utf-8", "replace") for x in some], add_special_tokens=False)
-            self.cache.update(zip(some, (np.array(e.ids, dtype="<u4").tobytes() for e in encoded)))
-        get = self.cache.__getitem__
-        out = [b"".join(map(get, p)) for p in parts]
+        parts, cache = [self.chunks(t) if t else [] for t in texts], self.cache
+        if len(cache) > CACHE_WORDS:
+            cache.clear()
+        new = {x for p in parts for x in p if x not in cache}
         for x in new:
-            if len(x) > CACHE_CHARS:
-                del self.cache[x]
+            # A full stop or comma after an ASCII letter or digit is a token of its own: the word before it may be known.
+            if x[-1] in self.ends and x[-2:-1].isalnum() and x.isascii():
+                for y in (x[:-1], x[-1:]):
+                    if y not in cache:
+                        cache[y] = self.word(y)
+                cache[x] = cache[x[:-1]] + cache[x[-1:]]
+            else:
+                cache[x] = self.word(x)
+        get = cache.__getitem__
+        out = [b"".join(map(get, p)) for p in parts]
+        for x in [x for x in new if len(x) > CACHE_CHARS]:
+            cache.pop(x, None)
+            cache.pop(x[:-1], None)
         return out
 
 
