@@ -9,6 +9,7 @@ from ..functions import sequence as S
 from ..functions import text as T
 from ..operators import index as I
 from ..operators import library as B
+from ..operators import review as W
 from ..operators import search as X
 from ..operators import verify as V
 from .registry import query, read
@@ -331,3 +332,57 @@ def three_way_merges(spark, sf):
     c = read(spark, sf, "conversations").where("turn < 3").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", T.norms(F.col("text"), False).alias("ws")))).alias("t")).where(F.size("t") == 3)
     m = S.three_way_merge(*[F.get("t", F.lit(k))["ws"] for k in range(3)])
     return c.select("conv_id", m.alias("m")).select("conv_id", F.size("m.words").alias("n"), "m.conflicts", F.md5(F.array_join("m.words", " ").cast("binary")).alias("merged"))
+
+
+_STATUS = "CASE n_chars % 6 WHEN 0 THEN 'excluded' WHEN 1 THEN 'ocr_done' WHEN 2 THEN 'error' WHEN 3 THEN 'processing' WHEN 4 THEN 'assembled' ELSE 'reviewed' END"
+
+
+@query(f"""WITH p AS (SELECT source AS book, doc_id // 20 AS number, {_STATUS} AS status FROM documents), i AS (SELECT *, status IN ('reviewed', 'assembled') AS included FROM p WHERE status <> 'excluded'),
+ b AS (SELECT *, max(CASE WHEN included THEN number END) OVER (PARTITION BY book ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM i)
+ SELECT book, number, included, CASE WHEN status = 'ocr_done' THEN 'page_unreviewed' WHEN NOT included THEN CASE WHEN status = 'error' THEN 'page_error' ELSE 'page_pending' END END AS warning,
+ CASE WHEN included AND before IS NOT NULL THEN (SELECT count(*) FROM i x WHERE x.book = b.book AND NOT x.included AND x.number > before AND x.number < b.number) END AS skipped FROM b""")
+def page_selection(spark, sf):
+    """Pages that enter a manuscript, their warnings, and how many were skipped before each (states from text lengths)."""
+    states = ("excluded", "ocr_done", "error", "processing", "assembled", "reviewed")
+    d = read(spark, sf, "documents")
+    status = F.element_at(F.array(*[F.lit(s) for s in states]), (F.col("n_chars") % 6 + 1).cast("int"))
+    p = d.select(F.col("source").alias("book"), F.floor(F.col("doc_id") / 20).cast("long").alias("number"), status.alias("status"))
+    return W.select_pages(p, False).select("book", "number", "included", "warning", F.when(F.col("gap").isNotNull(), F.size("gap")).cast("long").alias("skipped"))
+
+
+@query(f"""WITH {_PAGES}, {_ITEMS}, t AS (SELECT DISTINCT doc_id, unnest(ws) AS w FROM p), o AS (SELECT query, doc_id, count(*) AS n FROM t JOIN (SELECT DISTINCT query, unnest(qs) AS w FROM q) USING (w) GROUP BY ALL),
+ c AS (SELECT query, arg_min(doc_id, (-n, doc_id)) AS doc_id FROM o GROUP BY query), a AS (SELECT query, w, count(*) AS k FROM (SELECT query, unnest(qs) AS w FROM q) GROUP BY ALL), b AS (SELECT query, w, count(*) AS k FROM (SELECT query, unnest(ws) AS w FROM c JOIN p USING (doc_id)) GROUP BY ALL),
+ m AS (SELECT a.query, sum(least(a.k, b.k)) AS common FROM a JOIN b ON a.query = b.query AND a.w = b.w GROUP BY 1), s AS (SELECT c.query, c.doc_id, len(q.qs) AS r, len(p.ws) AS w, round(2.0 * coalesce(common, 0) / (len(q.qs) + len(p.ws)), 6) AS f1 FROM c JOIN q ON q.query = c.query JOIN p ON p.doc_id = c.doc_id LEFT JOIN m ON m.query = c.query),
+ z AS (SELECT *, CASE WHEN w = 0 THEN 'empty' WHEN r = 0 THEN 'no_reference' WHEN r < 15 AND w > 3 * r + 10 THEN 'too_long' WHEN r < 15 THEN 'short_reference' WHEN w < 0.2 * r THEN 'too_short' WHEN w > 1.8 * r + 3 THEN 'too_long' WHEN f1 < 0.45 THEN 'low_overlap' ELSE 'ok' END AS reason FROM s)
+ SELECT query, doc_id, f1, reason, reason IN ('ok', 'short_reference') AS ok FROM z""")
+def reading_sanity(spark, sf):
+    """Whether each item's best page reads like it: lengths and word F1."""
+    ix = _index(spark, sf)
+    best = X.overlaps(ix, _items(spark, sf), "doc_id").groupBy("query").agg(F.min_by("doc_id", F.struct(-F.col("overlap"), "doc_id")).alias("doc_id"))
+    pairs = best.join(_items(spark, sf), "query").join(ix.select("doc_id", F.col("words.norm").alias("ws")), "doc_id")
+    f1 = W.word_f1(pairs, "query", "ws", "words").select("query", F.round("f1", 6).alias("f1"))
+    return pairs.join(f1, "query").select("query", "doc_id", "f1", W.sanity(F.size("ws"), F.size("words"), F.col("f1"), F.lit(False)).alias("s")).select("query", "doc_id", "f1", "s.reason", "s.ok")
+
+
+@query("""WITH m AS (SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS base, max(CASE WHEN turn = 1 THEN text END) AS mine, max(CASE WHEN turn = 2 THEN text END) AS fresh FROM conversations GROUP BY 1), n AS (SELECT conv_id, coalesce(mine, '') AS m, coalesce(base, '') AS b, coalesce(fresh, '') AS f, conv_id % 3 > 0 AS known FROM m)
+ SELECT conv_id, CASE WHEN m = f THEN 'nothing' WHEN m = '' THEN CASE WHEN known AND b <> '' THEN CASE WHEN b = f THEN 'nothing' ELSE 'conflict' END WHEN known THEN 'insert' ELSE 'choose' END WHEN f = '' THEN CASE WHEN known THEN CASE WHEN m = b THEN 'remove' ELSE 'conflict' END ELSE 'choose' END WHEN NOT known THEN 'choose' WHEN m = b THEN 'take' WHEN f = b THEN 'nothing' ELSE 'merge' END AS decision FROM n""")
+def merge_decisions(spark, sf):
+    """What a change plan does with each block; three turns stand for base, mine and fresh."""
+    side = lambda k, n: F.max(F.when(F.col("turn") == k, F.col("text"))).alias(n)
+    m = read(spark, sf, "conversations").groupBy("conv_id").agg(side(0, "base"), side(1, "mine"), side(2, "fresh"))
+    return m.select("conv_id", W.merge_decision(F.col("mine"), F.col("base"), F.col("fresh"), F.col("conv_id") % 3 > 0, F.lit(False)).alias("decision"))
+
+
+@query("""WITH s AS (SELECT user_id % 10 AS book, user_id AS page, count(*) AS sig, max(value) > 50 AS reviewed FROM events WHERE event_type = 'view' GROUP BY 2), p AS (SELECT user_id % 10 AS book, user_id AS page, count(*) AS sig, max(value) > 50 AS reviewed FROM events WHERE event_type = 'click' GROUP BY 2)
+ SELECT coalesce(s.book, p.book) AS book, count(*) FILTER (s.page IS NULL) AS added, count(*) FILTER (p.page IS NULL) AS removed, count(*) FILTER (s.sig <> p.sig) AS content, count(*) FILTER (s.sig = p.sig AND s.reviewed <> p.reviewed) AS approval FROM s FULL JOIN p ON s.book = p.book AND s.page = p.page GROUP BY 1""")
+def staleness_reasons(spark, sf):
+    """Why a manuscript is stale: pages added, removed, changed, or only approved since."""
+    of = lambda kind: read(spark, sf, "events").where(F.col("event_type") == kind).groupBy((F.col("user_id") % 10).alias("book"), F.col("user_id").alias("page")).agg(F.count("*").alias("sig"), (F.max("value") > 50).alias("reviewed"))
+    return W.staleness(of("view"), of("click"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, regexp_split_to_array(trim(text, chr(32)), '[ \t\n\x0B\f\r]+') AS ws FROM documents WHERE regexp_matches(text, '(?i)that')), t AS (SELECT doc_id, ws, unnest(range(len(ws))) AS i, unnest(ws) AS word FROM w), h AS (SELECT * FROM t WHERE regexp_matches(word, '(?i)^\P{L}*(?:that)\P{L}*$')), c AS (SELECT count(*) AS total FROM h)
+ SELECT doc_id, i, word, array_to_string(ws[greatest(i - 4, 1) : i], ' ') AS before, array_to_string(ws[i + 2 : i + 6], ' ') AS after, total, total > 2000 AS truncated FROM h, c ORDER BY doc_id, i LIMIT 2000""")
+def corpus_find(spark, sf):
+    """A word in all texts with its context; the report is capped and says so."""
+    return W.find(read(spark, sf, "documents"), "doc_id", "text", "that").withColumn("i", F.col("i").cast("long"))

@@ -94,3 +94,25 @@ def test_streams(spark, tmp_path):
         q = df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination()
     assert spark.table("once").count() == 1
+
+
+def test_flag_policy_and_vote(spark):
+    from leafmill.operators import review
+
+    rows = [("كتابΑ", None, None, None, False, True, "script"), ("،", None, None, None, False, True, None), ("1966", "1966", None, None, True, True, None), ("1966", "1965", None, None, True, True, "number"), ("١٩", "19", None, None, True, True, "number"), ("آ", None, None, None, False, True, None), ("كتاب", "كتاب", None, None, True, True, None), ("كتاب", "كاتب", None, None, True, True, "disagree"), ("كتاب", None, None, None, True, True, None), ("كتاب", None, "كاتب", 90.0, True, True, "alone"), ("كتاب", None, "كاتب", 90.0, True, False, "single"), ("كتاب", None, "كناب", 90.0, True, False, None), ("كتاب", None, "كاتب", 50.0, True, False, None), ("كتاب", None, None, None, True, None, None)]
+    df = spark.createDataFrame(rows, "t string, s string, tess string, conf double, boxed boolean, two boolean, want string")
+    for r in df.select("t", "want", review.flag(*[F.col(c) for c in ("t", "s", "tess", "conf", "boxed", "two")]).alias("got")).collect():
+        assert r["got"] == r["want"], r
+    votes = spark.createDataFrame([("كتاب", "كاتب", "كاتب", "كاتب"), ("كتاب", "كاتب", "كتاب", None), ("19", "18", "18", None)], "t string, a string, s string, want string")
+    assert all(r["got"] == r["want"] for r in votes.select("want", review.vote(F.col("t"), F.col("a"), F.col("s"), F.lit(False), F.lit(False)).alias("got")).collect())
+
+
+def test_fix_and_undo(spark):
+    from leafmill.operators import review
+
+    tokens = spark.createDataFrame([(1, 0, "ab", None, True), (1, 1, "cd", "zz", True), (2, 0, "ef", None, False), (2, 1, "gh", None, True)], "line int, i int, t string, orig string, editable boolean")
+    picks = spark.createDataFrame([(1, 0, "ab", "AB"), (1, 1, "xx", "CD"), (2, 0, "ef", "EF")], "line int, i int, seen string, new string")
+    got = [tuple(r) for r in review.fix(tokens, picks).orderBy("line", "i").collect()]
+    assert got == [(1, 0, "AB", "ab", True, "applied"), (1, 1, "cd", "zz", True, "changed"), (2, 0, "ef", None, False, "page"), (2, 1, "gh", None, True, None)]
+    rev = spark.createDataFrame([(1, 10, "x", False, 1), (2, 10, "y", False, 2), (3, 11, "x", False, 3), (4, 11, "y", True, 4)], "id int, line int, batch string, undone boolean, created_at int")
+    assert sorted(tuple(r) for r in review.undoable(rev, "x").collect()) == [(10, False), (11, True)]
