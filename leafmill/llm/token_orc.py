@@ -41,20 +41,21 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(start + after - n), pa.array(n), ids], ["doc_id", "part", "part_start", "n_tokens", "ids"])
             start += int(after[-1])
 
-    options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": str(stride), "orc.stripe.size": str(stripe_mb << 20), "compression": "zstd"}
+    options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": str(stride), "orc.stripe.size": str(stripe_mb << 20), "compression": "snappy"}
     ordered.mapInArrow(run, SCHEMA).write.options(**options).orc(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """All documents of an archive with their ids and ``start``, the number of ids of all documents before them.
-
-    Only the small columns are read for the parts' totals; a part is as large as a task, so there are few.
-    """
-    table = spark.read.schema(SCHEMA).orc(path)
+def _starts(table: DataFrame) -> DataFrame:
+    """Ids before each part.  Only small columns are read; a part is as large as a task, so there are few."""
     totals = table.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return table.join(starts, "part").select("doc_id", (F.col("part_start") + F.col("before")).alias("start"), "ids")
+    return totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """All documents of an archive with their ids and ``start``, the number of ids of all documents before them."""
+    table = spark.read.schema(SCHEMA).orc(path)
+    return table.join(_starts(table), "part").select("doc_id", (F.col("part_start") + F.col("before")).alias("start"), "ids")
 
 
 def find(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
@@ -62,17 +63,19 @@ def find(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
     return spark.read.schema(SCHEMA).orc(path).where(F.col("doc_id").isin(ids))
 
 
-def digests(table: DataFrame) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of a table from :func:`read`, from the ids read."""
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` of an archive, from the ids read; the ids themselves are not shuffled."""
+    table = spark.read.schema(SCHEMA).orc(path)
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(2)
+            lists = batch.column(3)
             values, offsets = np.ascontiguousarray(np.asarray(lists.values), dtype="<u4"), np.asarray(lists.offsets)
             crc = [zlib.crc32(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "part", "part_start", "n_tokens", "ids_crc32"])
 
-    return table.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    read_back = table.select("doc_id", "part", "part_start", "ids").mapInArrow(run, "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long")
+    return read_back.join(_starts(table), "part").select("doc_id", (F.col("part_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, **options) -> DataFrame:
@@ -83,4 +86,4 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, **options) -> D
     spark = docs.sparkSession
     path = new_path(spark, "token-orc")
     write(docs, tokenizer, end_id, path, **options)
-    return digests(read(spark, path))
+    return digests(spark, path)
