@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..functions import text as T
+from ..operators import evaluate as E
 from ..operators import index as I
 from ..operators import library as B
 from ..operators import review as W
@@ -386,3 +387,10 @@ def staleness_reasons(spark, sf):
 def corpus_find(spark, sf):
     """A word in all texts with its context; the report is capped and says so."""
     return W.find(read(spark, sf, "documents"), "doc_id", "text", "that").withColumn("i", F.col("i").cast("long"))
+
+
+@query()
+def evaluation_report(spark, sf):
+    """Verdicts on altered quotations, cut from every fiftieth page and checked against all pages."""
+    ix = _index(spark, sf)
+    return E.report(ix, E.cases(ix.where("doc_id % 50 = 0"), "doc_id", seed=1), "doc_id")

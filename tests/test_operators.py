@@ -116,3 +116,15 @@ def test_fix_and_undo(spark):
     assert got == [(1, 0, "AB", "ab", True, "applied"), (1, 1, "cd", "zz", True, "changed"), (2, 0, "ef", None, False, "page"), (2, 1, "gh", None, True, None)]
     rev = spark.createDataFrame([(1, 10, "x", False, 1), (2, 10, "y", False, 2), (3, 11, "x", False, 3), (4, 11, "y", True, 4)], "id int, line int, batch string, undone boolean, created_at int")
     assert sorted(tuple(r) for r in review.undoable(rev, "x").collect()) == [(10, False), (11, True)]
+
+
+def test_evaluation(spark):
+    from leafmill.operators import evaluate
+
+    rows = [(i, "b", i, " ".join(f"word{i}x{k}" for k in range(30))) for i in range(40)]
+    ix = index.index_pages(spark.createDataFrame(rows, "page_id long, book string, number long, text string"))
+    made = evaluate.cases(ix, "page_id", 7)
+    assert sorted(made.collect()) == sorted(evaluate.cases(ix, "page_id", 7).collect())  # seeded
+    got = {r["cls"]: r for r in evaluate.report(ix, made, "page_id").collect()}
+    assert set(got) == set(evaluate.CLASSES) and all(r["as_expected"] == 1.0 for r in got.values())
+    assert all(r["located"] == 1.0 for c, r in got.items() if c != "absent")
