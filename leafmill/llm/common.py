@@ -33,16 +33,16 @@ def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, tag)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
-def remove(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`materialize` that nothing reads any more."""
-    spark = df.sparkSession
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(parent)
-        if "/leafmill-" in parent:
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def remove(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`materialize` that nothing reads any more."""
+    for df in tables:
+        spark, path = df.sparkSession, df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -15,10 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, materialize
+from .common import SPACE_CLASS, materialize, remove
 
 #: Buckets of the table of word counts, words of the bit filter of candidate lines, and the size of a hot group.
-COUNTS, BITS, HOT = 1 << 17, 1 << 16, 200
+COUNTS, BITS, HOT = 1 << 20, 1 << 16, 200
 
 
 def _bit(place: Column) -> Column:
@@ -26,6 +26,11 @@ def _bit(place: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
 
 
+def _quarter(k: int):
+    """Folds hashes into the kth of four words of a 256-bit signature."""
+    return lambda a, x: F.when(F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(3)) == k, a.bitwiseOR(_bit(x))).otherwise(a)
+
+
 def line_words(line: Column) -> Column:
     """Distinct lower-cased words of a line."""
     return F.array_distinct(F.array_remove(F.split(F.lower(line), f"[{SPACE_CLASS}]+"), ""))
@@ -42,21 +47,25 @@ def _dense(df: DataFrame, size: int, key: str, value: str) -> Column:
     return filled.agg(F.array_sort(F.collect_list(F.struct(key, value)))[value].alias("x")).scalar()
 
 
-def rarity(docs: DataFrame, text_col: str) -> Column:
-    """Count levels (eight a doubling) of all words by hash bucket, as a constant array of COUNTS numbers."""
+def rarity(docs: DataFrame, text_col: str) -> bytes:
+    """Count levels (four a doubling, 1 to 127) of all words by hash bucket, a byte each."""
     words = docs.select(F.explode(F.split(F.lower(F.col(text_col).cast("string")), f"[{SPACE_CLASS}]+")).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(COUNTS - 1)).alias("b")).agg(F.count("*").alias("c"))
-    level = F.round(8 * F.log2(F.col("c") + 1)).cast("int")
-    dense = counts.select("b", level.alias("v")).union(docs.sparkSession.range(COUNTS).select(F.col("id").alias("b"), F.lit(0).alias("v"))).groupBy("b").agg(F.max("v").alias("v"))
-    text = dense.agg(F.to_json(F.array_sort(F.collect_list(F.struct("b", "v")))["v"])).first()[0]  # COUNTS small numbers
-    # A subquery cannot stand in a lambda, so the table goes into the plan as a constant.
-    return F.from_json(F.lit(text), "array<bigint>")
+    level = F.least(F.lit(127), 1 + F.round(4 * F.log2(F.col("c") + 1))).cast("int")
+    dense = counts.select("b", level.alias("v")).union(docs.sparkSession.range(COUNTS).select(F.col("id").alias("b"), F.lit(1).alias("v"))).groupBy("b").agg(F.max("v").alias("v"))
+    # COUNTS bytes; a subquery cannot stand in a lambda, so the table goes into the plan as a constant.
+    return dense.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "v")))["v"], lambda v: F.char(v)), "")).first()[0].encode("ascii")
+
+
+def _level(levels: bytes, h: Column) -> Column:
+    place = h.bitwiseAND(F.lit(COUNTS - 1)).cast("int") + 1
+    return F.ascii(F.substr(F.lit(bytearray(levels)), place, F.lit(1)).cast("string")).cast("long")
 
 
-def signed(lines: DataFrame, levels: Column) -> DataFrame:
+def signed(lines: DataFrame, levels: bytes) -> DataFrame:
     """``doc_id, line_no, sid, n, sig, pre`` of every line with a word: its set's hash, size, signature and prefix."""
     words = lines.select("doc_id", "line_no", F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") > 0)
-    keyed = words.select("doc_id", "line_no", F.size("h").alias("n"), F.array_sort(F.transform("h", lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(F.lit(COUNTS - 1)).cast("int")), 54).bitwiseOR(h.bitwiseAND(F.lit((1 << 54) - 1))))).alias("k"))
+    keyed = words.select("doc_id", "line_no", F.size("h").alias("n"), F.sort_array(F.transform("h", lambda h: F.shiftleft(_level(levels, h), 54).bitwiseOR(h.bitwiseAND(F.lit((1 << 54) - 1))))).alias("k"))
     sig = F.aggregate("k", F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(_bit(F.shiftrightunsigned(k, 18))))
     return keyed.select("doc_id", "line_no", F.xxhash64("k", "n").alias("sid"), "n", sig.alias("sig"), F.transform(F.slice("k", 1, F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1), lambda k: F.hash(k)).alias("pre"))
 
@@ -69,19 +78,32 @@ def _filters(x: str, y: str) -> Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Set ids whose line matches an earlier one, of candidate ``pairs(a, b)``: Jaccard on the words of the text."""
+    """Set ids whose line matches an earlier one, of candidate ``pairs(a, b)``: Jaccard on the words of the text.
+
+    ``pairs`` is a written table and is deleted when it has been read.
+
+    Only candidate lines are read again; a wider signature thins the pairs before any word travels, and words travel
+    as 64-bit hashes.
+    """
     ids = materialize(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("sid")).join(sets.select("sid", "first"), "sid").select("sid", F.col("first.doc_id").alias("at_doc"), F.col("first.line_no").alias("at_line")), "line-ids")
     slot = F.xxhash64("doc_id", "line_no").bitwiseAND(F.lit(BITS * 64 - 1))
     marks = ids.select(F.xxhash64("at_doc", "at_line").bitwiseAND(F.lit(BITS * 64 - 1)).alias("s")).distinct().groupBy(F.shiftright("s", 6).alias("k")).agg(F.bit_or(_bit(F.col("s"))).alias("v"))
     bits = _dense(marks, BITS, "k", "v")
     lines = exploded(docs, id_col, text_col).where(F.call_function("shiftrightunsigned", F.get(bits, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
     same = F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("line_no") == F.col("at_line"))
-    words = materialize(lines.join(ids, same).select("sid", F.struct("at_doc", "at_line").alias("first"), line_words(F.col("line")).alias("w")).dropDuplicates(["sid"]), "line-words")
-    left, right = (words.select(*[F.col(c).alias(f"{p}_{c}") for c in words.columns]) for p in ("x", "y"))
-    both = pairs.join(left, F.col("a") == F.col("x_sid")).join(right, F.col("b") == F.col("y_sid"))
-    shared = F.size(F.array_intersect("x_w", "y_w"))
-    match = 5 * shared >= 4 * (F.size("x_w") + F.size("y_w") - shared)
-    return both.where(match).select(F.when(F.col("x_first") > F.col("y_first"), F.col("a")).otherwise(F.col("b")).alias("sid")).distinct()
+    hashed = lines.join(ids, same).select("sid", F.struct("at_doc", "at_line").alias("first"), F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w)).alias("h"))
+    bits256 = [F.aggregate("h", F.lit(0).cast("long"), _quarter(k)).alias(f"s{k}") for k in range(4)]
+    words = materialize(hashed.dropDuplicates(["sid"]).select("*", F.size("h").alias("n"), *bits256), "line-words")
+    side = lambda p, *c: words.select(*[F.col(x).alias(f"{p}_{x}") for x in ("sid", *c)])
+    narrow = pairs.join(side("x", "n", "s0", "s1", "s2", "s3"), F.col("a") == F.col("x_sid")).join(side("y", "n", "s0", "s1", "s2", "s3"), F.col("b") == F.col("y_sid"))
+    apart = sum((F.bit_count(F.col(f"x_s{k}").bitwiseAND(F.bitwise_not(F.col(f"y_s{k}")))) for k in range(1, 4)), F.bit_count(F.col("x_s0").bitwiseAND(F.bitwise_not(F.col("y_s0")))))
+    near = narrow.where(F.col("x_n") - apart >= F.floor((4 * (F.col("x_n") + F.col("y_n")) + 8) / 9)).select("a", "b")
+    both = near.join(side("x", "first", "h", "n"), F.col("a") == F.col("x_sid")).join(side("y", "first", "h", "n"), F.col("b") == F.col("y_sid"))
+    shared = F.size(F.array_intersect("x_h", "y_h"))
+    match = 5 * shared >= 4 * (F.col("x_n") + F.col("y_n") - shared)
+    out = materialize(both.where(match).select(F.when(F.col("x_first") > F.col("y_first"), F.col("a")).otherwise(F.col("b")).alias("sid")).distinct(), "line-later")
+    remove(ids, words, pairs)
+    return out
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -95,24 +117,27 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = materialize(lines.groupBy("sid").agg(F.min(order).alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("pre").alias("pre")), "line-sets")
     able = sets.where("n >= 4")
     index = F.col("n") - F.floor((8 * F.col("n") + 8) / 9).cast("int") + 1
-    x = able.select("sid", "n", "sig", "first", F.posexplode(F.slice("pre", 1, index)).alias("i", "t"))
-    y = able.select("sid", "n", "sig", "first", F.posexplode("pre").alias("i", "t"))
-
-    hot = x.groupBy("t").agg(F.count("*").alias("size"), F.min(F.struct("first", "sid", "n", "sig", "i")).alias("x")).where(F.col("size") > HOT)
-    hot = materialize(hot.select("t", "x.*"), "line-hot")
+    crowded = able.select(F.explode(F.slice("pre", 1, index)).alias("t")).groupBy("t").agg(F.count("*").alias("size")).where(F.col("size") > HOT)
+    crowded = materialize(crowded.select(F.col("t").alias("c")), "line-crowded")  # few, and small enough to be sent to the sets
+    y = able.select("sid", "n", "sig", "first", F.posexplode("pre").alias("i", "t")).join(crowded, F.col("t") == F.col("c"))
+    x = y.where(F.col("i") < index).groupBy("t").agg(F.min(F.struct("first", "sid", "n", "sig", "i")).alias("x"))
+    hot = materialize(x.select("t", "x.*"), "line-hot")
     later = (F.col("x.t") == F.col("y.t")) & (F.col("x.first") < F.col("y.first"))
     wider = F.when(F.col("x.n") <= F.col("y.n"), _filters("x", "y")).otherwise(_filters("y", "x"))
     early = hot.alias("x").join(y.alias("y"), later & wider).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
-    settled = materialize(verified(materialize(early, "line-pairs"), sets, text, id_col, text_col), "line-settled")
+    settled = verified(materialize(early, "line-pairs"), sets, text, id_col, text_col)
+    remove(hot, crowded)
 
     flagged = able.join(settled.withColumn("done", F.lit(True)), "sid", "left").select("sid", F.when(F.col("done"), -F.col("n")).otherwise(F.col("n")).alias("n"), "sig", "pre")
-    short = flagged.select("sid", "n", "sig", F.posexplode(F.slice("pre", 1, F.abs("n") - F.floor((8 * F.abs("n") + 8) / 9).cast("int") + 1)).alias("i", "t"))
-    long = flagged.select("sid", "n", "sig", F.posexplode("pre").alias("i", "t"))
+    # Both sides read one exchange: that the shorter side publishes fewer words is asked of the pair, not of the side.
+    entries = flagged.select("sid", "n", "sig", F.posexplode("pre").alias("i", "t"))
+    published = F.col("x.i") < F.abs("x.n") - F.floor((8 * F.abs("x.n") + 8) / 9).cast("int") + F.when(F.col("y.i") >= 0, 1).otherwise(0)
     once = (F.abs("x.n") < F.abs("y.n")) | (F.abs("x.n") == F.abs("y.n")) & (F.col("x.sid") < F.col("y.sid"))
-    pairs = short.alias("x").join(long.alias("y"), (F.col("x.t") == F.col("y.t")) & once & ~((F.col("x.n") < 0) & (F.col("y.n") < 0)) & _filters("x", "y"))
+    pairs = entries.alias("x").join(entries.alias("y"), (F.col("x.t") == F.col("y.t")) & once & published & ~((F.col("x.n") < 0) & (F.col("y.n") < 0)) & _filters("x", "y"))
     pairs = materialize(pairs.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct(), "line-pairs")
     gone = verified(pairs, sets, text, id_col, text_col).union(settled).distinct()
     fate = materialize(sets.join(gone.withColumn("gone", F.lit(True)), "sid", "left").select("sid", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "line-fates")
+    remove(sets)
     out = lines.select("doc_id", "line_no", "sid").join(fate, "sid")
     return lines, out.where(F.col("gone") | (F.struct("doc_id", "line_no") > F.col("first"))).select("doc_id", "line_no")
 
