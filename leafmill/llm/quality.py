@@ -41,8 +41,9 @@ def repeat_words(words: Column) -> Column:
         start = F.struct(F.lit(-WINDOW).alias("at"), F.lit(0).alias("n"))
         return F.aggregate(F.sort_array(again), start, lambda a, i: F.struct(i.alias("at"), (a["n"] + F.least(F.lit(WINDOW), i - a["at"])).alias("n")))["n"]
 
-    windows = F.when(F.size(words) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
-    return _let(windows, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0)))
+    # Bound to a variable: were this put in the place of a column, a lambda would work out the words anew for each window.
+    cut = lambda w: F.when(F.size(w) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
+    return _let(_let(words, cut), lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0)))
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -111,23 +112,30 @@ def cutoffs(scored: DataFrame, labels: DataFrame, id_col: str, alpha: float, del
     return certified.groupBy("stratum", "rule").agg(best.alias("step"))
 
 
-def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str | None = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """``docs`` with the measures ``__q_*`` and ``__q_base_failed``, ``__q_kept``; written once, since it is read twice.
-
-    ``text_col`` None: ``docs`` comes from :func:`measured` already.
-    """
-    rows = materialize(docs if text_col is None else measured(docs, text_col), "quality")
-    n, lines = F.col("__q_n_words"), F.col("__q_lines")
-    failed = (n < 10) | (100 * F.col("__q_n_repeat_words") > 20 * n)
-    levels = F.array(_level(F.col("__q_n_symbols"), F.greatest(n, F.col("__q_n_symbols"))), _level(F.col("__q_n_repeat_words"), n), _level(lines["dup"], lines["n"]), _level(F.col("__q_capitals"), F.col("__q_word_chars")))
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> tuple[DataFrame, DataFrame, Column]:
+    """``(measures, chosen, stratum)``: written ``__q_*`` measures of all rows, the cutoffs, and a row's stratum."""
+    wanted = [c for c in dict.fromkeys((id_col, text_col, stratum_col)) if c in docs.columns]
+    rows = materialize(measured(docs.select(*wanted), text_col).drop(text_col), "quality")
     lang = F.coalesce(F.col(stratum_col).cast("string"), F.lit("")) if stratum_col in docs.columns else F.lit("")
     ident = F.col(id_col).cast("long")
     # The largest strata have thresholds of their own, all others share one set: a bounded list of names.
     names = [r[0] for r in rows.join(labels.select(F.col("doc_id").alias("__of")).distinct(), ident == F.col("__of")).groupBy(lang.alias("s")).count().orderBy(F.desc("count"), "s").limit(STRATA).collect()]
     stratum = F.when(lang.isin(names), F.concat(F.lit("="), lang)).otherwise(F.lit("*")) if names else F.lit("*")
-    chosen = cutoffs(rows.select(ident.alias(id_col), stratum.alias("stratum"), levels.alias("levels")), labels, id_col, alpha, delta)
+    chosen = cutoffs(rows.select(ident.alias(id_col), stratum.alias("stratum"), _levels().alias("levels")), labels, id_col, alpha, delta)
     by_stratum = chosen.groupBy(F.col("stratum").alias("__stratum")).agg(F.array(*[F.max(F.when(F.col("rule") == k, F.col("step"))) for k in range(len(RULES))]).alias("__steps"))
-    with_steps = rows.join(F.broadcast(by_stratum), stratum == F.col("__stratum"), "left")  # STRATA + 1 rows at most
+    return rows, by_stratum, stratum
+
+
+def _levels() -> Column:
+    n, lines = F.col("__q_n_words"), F.col("__q_lines")
+    return F.array(_level(F.col("__q_n_symbols"), F.greatest(n, F.col("__q_n_symbols"))), _level(F.col("__q_n_repeat_words"), n), _level(lines["dup"], lines["n"]), _level(F.col("__q_capitals"), F.col("__q_word_chars")))
+
+
+def decided(rows: DataFrame, chosen: DataFrame, stratum: Column) -> DataFrame:
+    """Measured ``rows`` with ``__q_base_failed`` and ``__q_kept``."""
+    n, levels = F.col("__q_n_words"), _levels()
+    failed = (n < 10) | (100 * F.col("__q_n_repeat_words") > 20 * n)
+    with_steps = rows.join(F.broadcast(chosen), stratum == F.col("__stratum"), "left")  # STRATA + 1 rows at most
     rejected = reduce(lambda a, b: a | b, [F.coalesce(F.get(levels, F.lit(k)) <= F.get("__steps", F.lit(k)), F.lit(False)) for k in range(len(RULES))])
     return with_steps.withColumns({"__q_base_failed": failed, "__q_kept": ~failed & ~rejected}).drop("__stratum", "__steps")
 
@@ -139,16 +147,20 @@ def report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     repeated rows are judged like any other; labels without a document, and null labels, count nothing; without
     labels only the base rules reject.  An empty table gives an empty result.
     """
-    wanted = [c for c in dict.fromkeys((options.get("id_col", "doc_id"), options.get("text_col", "text"), options.get("stratum_col", "lang"))) if c in docs.columns]
-    slim = measured(docs.select(*wanted), options.get("text_col", "text")).drop(options.get("text_col", "text"))
-    out = judged(slim, labels, **options | {"text_col": None})
+    out = decided(*judge(docs, labels, **options))
     names = {"n_words": "__q_n_words", "word_chars": "__q_word_chars", "n_symbols": "__q_n_symbols", "n_dup_lines": "__q_lines.dup", "n_repeat_words": "__q_n_repeat_words", "base_failed": "__q_base_failed", "kept": "__q_kept"}
     return out.select(F.col(options.get("id_col", "doc_id")).alias("doc_id"), *[F.col(c).alias(n) for n, c in names.items()])
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that the rules keep, with the columns of ``docs``."""
-    return judged(docs, labels, **options).where("__q_kept").select(*docs.columns)
+    """The documents that the rules keep, with the columns of ``docs``.
+
+    The texts are measured a second time as they pass, so no copy of them is written and none is shuffled.
+    """
+    _, chosen, stratum = judge(docs, labels, **options)
+    # The row number keeps the filter above the measures, so each is worked out once.
+    rows = measured(docs, options.get("text_col", "text")).withColumn("__q_row", F.monotonically_increasing_id())
+    return decided(rows, chosen, stratum).where("__q_kept AND __q_row >= 0").select(*docs.columns)
 
 
 #: DuckDB, over tables documents and labels: the same rules from the definition above.
