@@ -14,7 +14,7 @@ from .helpers import AWKWARD_SCHEMA, awkward
 
 BYTE, WORD, PIECE = map(queries.vocabulary, ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 ENCODERS = {s: (WordEncoder(p, s), Tokenizer.from_file(p)) for p, s in ((BYTE, True), (WORD, False))}
-odd = st.lists(st.sampled_from(list("ab'sÉé́ \n\t\x0b\x1c\x1f\x85\xa0　 İΣσ<|>1٣.,!") + ["<|endoftext|>", "<|ENDOFTEXT|>"]), max_size=40).map("".join)
+odd = st.lists(st.sampled_from(list("\0ab'sÉé́ \n\t\x0b\x1c\x1f\x85\xa0　 İΣσ<|>1٣.,!") + ["<|endoftext|>", "<|ENDOFTEXT|>"]), max_size=40).map("".join)
 
 
 @pytest.mark.parametrize("spaced", [True, False])
