@@ -128,3 +128,29 @@ def test_evaluation(spark):
     got = {r["cls"]: r for r in evaluate.report(ix, made, "page_id").collect()}
     assert set(got) == set(evaluate.CLASSES) and all(r["as_expected"] == 1.0 for r in got.values())
     assert all(r["located"] == 1.0 for c, r in got.items() if c != "absent")
+
+
+def test_fuzzy_scores_every_prefiltered_page(spark):
+    """More than 32 pages hold all words; the approximate hits stand on pages that share fewer."""
+    import random
+
+    from leafmill.functions import sequence
+
+    rng = random.Random(4)
+    words = ["stone", "river", "of", "the", "lantern", "müde", "st", "a", "mill", "leaves"]
+    rows = [(i, "b", i, "the river of stone and " + " ".join(rng.choice(words) for _ in range(rng.randrange(1, 40)))) for i in range(60)]
+    rows += [(100 + i, "b", 100 + i, t) for i, t in enumerate(["riverr the stome of lantern", "x riiver ofthe stonee", "river", "of the lanterm rivers of stones", "the rivr of ston", "so a mil", "leave"])]
+    ix = index.index_pages(spark.createDataFrame(rows, "page_id long, book string, number long, text string"), arabic=False)
+    asked = [(1, "river of the stone".split()), (2, "the lantern of stone river".split()), (3, ["leaves"]), (4, ["a"]), (5, ["a", "mill"]), (6, "river of the stone".split()), (7, ["müde", "st"])]
+    queries = spark.createDataFrame(asked, "query int, words array<string>")
+    want = set()
+    for q, ws in asked:
+        longest = sorted(set(ws), key=lambda w: (-len(w), w))[: search.PREFILTER]
+        for r in ix.select("page_id", "norm").collect():
+            score = sequence.partial_window(" ".join(ws), r["norm"])[0]
+            if score >= search.CUTOFF and any(w in r["norm"] for w in longest) and (len(ws) > 1 or len(ws[0]) >= 4):
+                want.add((q, r["page_id"], round(score, 6)))
+    got = search.fuzzy(ix, queries, "page_id").collect()
+    assert len(got) == len(want) > 80 and {tuple(r) for r in got} == want
+    hits = search.search(ix, queries, "page_id", limit=50, offset=50).where("query = 1 AND mode = 2").collect()
+    assert {r["page_id"] for r in hits} <= {p for q, p, _ in want if q == 1} and any(r["page_id"] >= 100 for r in hits)
