@@ -154,3 +154,17 @@ def test_fuzzy_scores_every_prefiltered_page(spark):
     assert len(got) == len(want) > 80 and {tuple(r) for r in got} == want
     hits = search.search(ix, queries, "page_id", limit=50, offset=50).where("query = 1 AND mode = 2").collect()
     assert {r["page_id"] for r in hits} <= {p for q, p, _ in want if q == 1} and any(r["page_id"] >= 100 for r in hits)
+
+
+def test_passages_over_a_page_break(spark):
+    asked = [(1, "epsilon zeta eta theta".split()), (2, "mu gamma beta".split()), (3, "lambda mu nothing".split())]
+    queries = spark.createDataFrame(asked, "query int, words array<string>")
+    ix = pages(spark)
+    got = [tuple(r) for r in search.search(ix, queries, "page_id").where("mode = 0").select("query", "page_id", "start", "end", "rank", "total").collect()]
+    assert [g[:5] for g in got] == [(1, 1, 4, 8, 1)]
+    checked = {r["query"]: r for r in verify.verify(ix, queries, "page_id").collect()}
+    assert (checked[1]["status"], checked[1]["page_id"], checked[1]["start"], checked[1]["end"]) == ("exact", 1, 4, 8)
+    assert checked[3]["status"] != "exact"
+    near = index.index_pages(spark.createDataFrame([(1, "b", 1, "one two three four"), (2, "b", 3, "five six seven eight")], "page_id long, book string, number long, text string"))
+    far = {r["query"]: r for r in verify.verify(near, spark.createDataFrame([(7, "three four five sax".split())], "query int, words array<string>"), "page_id").collect()}
+    assert (far[7]["status"], far[7]["page_id"], far[7]["start"], far[7]["end"]) == ("differs", 1, 2, 6)
