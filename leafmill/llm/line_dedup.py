@@ -36,8 +36,13 @@ def line_words(line: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(F.lower(line), f"[{SPACE_CLASS}]+"), ""))
 
 
+def text_key(text_col: str) -> Column:
+    """Tells apart documents that share an id, or have none, by their text."""
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
 def exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("line_no", "line"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("tid"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("line_no", "line"))
 
 
 def _dense(df: DataFrame, size: int, key: str, value: str) -> Column:
@@ -63,11 +68,11 @@ def _level(levels: bytes, h: Column) -> Column:
 
 
 def signed(lines: DataFrame, levels: bytes) -> DataFrame:
-    """``doc_id, line_no, sid, n, sig, pre`` of every line with a word: its set's hash, size, signature and prefix."""
-    words = lines.select("doc_id", "line_no", F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") > 0)
-    keyed = words.select("doc_id", "line_no", F.size("h").alias("n"), F.sort_array(F.transform("h", lambda h: F.shiftleft(_level(levels, h), 54).bitwiseOR(h.bitwiseAND(F.lit((1 << 54) - 1))))).alias("k"))
+    """``doc_id, tid, line_no, sid, n, sig, pre`` of every line with a word: its set's hash, size, signature and prefix."""
+    words = lines.select("doc_id", "tid", "line_no", F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") > 0)
+    keyed = words.select("doc_id", "tid", "line_no", F.size("h").alias("n"), F.sort_array(F.transform("h", lambda h: F.shiftleft(_level(levels, h), 54).bitwiseOR(h.bitwiseAND(F.lit((1 << 54) - 1))))).alias("k"))
     sig = F.aggregate("k", F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(_bit(F.shiftrightunsigned(k, 18))))
-    return keyed.select("doc_id", "line_no", F.xxhash64("k", "n").alias("sid"), "n", sig.alias("sig"), F.transform(F.slice("k", 1, F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1), lambda k: F.hash(k)).alias("pre"))
+    return keyed.select("doc_id", "tid", "line_no", F.xxhash64("k", "n").alias("sid"), "n", sig.alias("sig"), F.transform(F.slice("k", 1, F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1), lambda k: F.hash(k)).alias("pre"))
 
 
 def _filters(x: str, y: str) -> Column:
@@ -85,13 +90,13 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, te
     Only candidate lines are read again; a wider signature thins the pairs before any word travels, and words travel
     as 64-bit hashes.
     """
-    ids = materialize(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("sid")).join(sets.select("sid", "first"), "sid").select("sid", F.col("first.doc_id").alias("at_doc"), F.col("first.line_no").alias("at_line")), "line-ids")
-    slot = F.xxhash64("doc_id", "line_no").bitwiseAND(F.lit(BITS * 64 - 1))
-    marks = ids.select(F.xxhash64("at_doc", "at_line").bitwiseAND(F.lit(BITS * 64 - 1)).alias("s")).distinct().groupBy(F.shiftright("s", 6).alias("k")).agg(F.bit_or(_bit(F.col("s"))).alias("v"))
+    ids = materialize(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("sid")).join(sets.select("sid", "first"), "sid").select("sid", F.col("first.doc_id").alias("at_doc"), F.col("first.tid").alias("at_tid"), F.col("first.line_no").alias("at_line")), "line-ids")
+    slot = F.xxhash64("doc_id", "tid", "line_no").bitwiseAND(F.lit(BITS * 64 - 1))
+    marks = ids.select(F.xxhash64("at_doc", "at_tid", "at_line").bitwiseAND(F.lit(BITS * 64 - 1)).alias("s")).distinct().groupBy(F.shiftright("s", 6).alias("k")).agg(F.bit_or(_bit(F.col("s"))).alias("v"))
     bits = _dense(marks, BITS, "k", "v")
     lines = exploded(docs, id_col, text_col).where(F.call_function("shiftrightunsigned", F.get(bits, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
-    same = F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("line_no") == F.col("at_line"))
-    hashed = lines.join(ids, same).select("sid", F.struct("at_doc", "at_line").alias("first"), F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w)).alias("h"))
+    same = F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("tid") == F.col("at_tid")) & (F.col("line_no") == F.col("at_line"))
+    hashed = lines.join(ids, same).select("sid", F.struct("at_doc", "at_tid", "at_line").alias("first"), F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w)).alias("h"))
     bits256 = [F.aggregate("h", F.lit(0).cast("long"), _quarter(k)).alias(f"s{k}") for k in range(4)]
     words = materialize(hashed.dropDuplicates(["sid"]).select("*", F.size("h").alias("n"), *bits256), "line-words")
     side = lambda p, *c: words.select(*[F.col(x).alias(f"{p}_{x}") for x in ("sid", *c)])
@@ -107,13 +112,13 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, te
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``(lines, later)``: all lines with words, and ``doc_id, line_no`` of those that match an earlier line.
+    """``(lines, later)``: all lines with words, and ``doc_id, tid, line_no`` of those that match an earlier line.
 
-    Earlier is the smaller (doc_id, line number); a null id comes first.
+    Earlier is the smaller (doc_id, hash of the text, line number); a null id comes first.
     """
     text = docs.select(F.col(id_col), F.col(text_col))
     lines = materialize(signed(exploded(text, id_col, text_col), rarity(text, text_col)), "lines")
-    order = F.struct("doc_id", "line_no")
+    order = F.struct("doc_id", "tid", "line_no")
     sets = materialize(lines.groupBy("sid").agg(F.min(order).alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("pre").alias("pre")), "line-sets")
     able = sets.where("n >= 4")
     index = F.col("n") - F.floor((8 * F.col("n") + 8) / 9).cast("int") + 1
@@ -138,29 +143,30 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     gone = verified(pairs, sets, text, id_col, text_col).union(settled).distinct()
     fate = materialize(sets.join(gone.withColumn("gone", F.lit(True)), "sid", "left").select("sid", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "line-fates")
     remove(sets)
-    out = lines.select("doc_id", "line_no", "sid").join(fate, "sid")
-    return lines, out.where(F.col("gone") | (F.struct("doc_id", "line_no") > F.col("first"))).select("doc_id", "line_no")
+    out = lines.select("doc_id", "tid", "line_no", "sid").join(fate, "sid")
+    return lines, out.where(F.col("gone") | (order > F.col("first"))).select("doc_id", "tid", "line_no")
 
 
 def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_lines, n_removed, removed`` for every row: lines with words, and the numbers of the removed lines.
 
-    Lines without a word are never removed; null and empty texts have no lines; rows that share a doc_id count as one
-    document read twice, so they never remove each other's lines; a null id comes before all; an empty table gives
-    an empty result.  Only id and text are read.
+    Lines without a word are never removed; null and empty texts have no lines; rows that share doc_id and text count
+    as one document read twice, so they never remove each other's lines, and rows that share an id (or have none) but
+    differ in text are documents of their own; a null id comes before all; an empty table gives an empty result.
+    Only id and text are read.
     """
     _, later = removed_lines(docs, id_col, text_col)
-    by_doc = later.distinct().groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_list("line_no")).alias("removed"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.size(F.filter(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n"), lambda s: s.rlike(f"[^{SPACE_CLASS}]"))).alias("n_lines"))
+    by_doc = later.distinct().groupBy(F.col("doc_id").alias("__id"), F.col("tid").alias("__tid")).agg(F.array_sort(F.collect_list("line_no")).alias("removed"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("tid"), F.size(F.filter(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n"), lambda s: s.rlike(f"[^{SPACE_CLASS}]"))).alias("n_lines"))
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("__id")), "left").select("doc_id", "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed"))
+    return rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("tid") == F.col("__tid")), "left").select("doc_id", "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """``docs`` with the later matching lines taken out of the text (and its length brought up to date)."""
     _, later = removed_lines(docs, id_col, text_col)
-    by_doc = later.distinct().groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("line_no").alias("__removed"))
-    joined = docs.join(by_doc, docs[id_col].cast("long").eqNullSafe(F.col("__id")), "left")
+    by_doc = later.distinct().groupBy(F.col("doc_id").alias("__id"), F.col("tid").alias("__tid")).agg(F.collect_list("line_no").alias("__removed"))
+    joined = docs.join(by_doc, docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (text_key(text_col) == F.col("__tid")), "left")
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda s, i: ~F.array_contains(F.col("__removed"), i)), "\n")
     out = joined.withColumn(text_col, F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(kept))
     if length_col in docs.columns:

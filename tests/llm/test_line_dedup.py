@@ -65,3 +65,17 @@ def test_awkward_rows_and_near_copies(spark, monkeypatch):
 
 def test_query_equals_brute_force(spark, sf):
     assert check(spark.read.parquet(f"{sf}/documents.parquet"), queries.op9_line_dedup(spark, sf)) > 100
+
+
+def test_rows_without_or_with_shared_ids_are_documents_of_their_own(spark, monkeypatch):
+    near = ["a b c d e f g h i", "a b c d e f g h j"]
+    rows = [(None, f"{near[0]}\nclean one\nthe same line here"), (None, f"{near[1]}\nclean two\nthe same line here"), (None, "wholly different words\nclean three"), (None, "wholly different words\nclean three"), (7, "first text of seven\nkept a"), (7, "other text with seven\nclean one")]
+    for hot in (200, 1):
+        monkeypatch.setattr(line_dedup, "HOT", hot)
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        out = [r["text"] for r in line_dedup.dedup(df).collect()]
+        lines = [s for t in out for s in t.split("\n")]
+        assert sum(s in near for s in lines) == 1 and lines.count("the same line here") == 1 and lines.count("clean one") == 1
+        assert {"clean two", "kept a", "first text of seven", "other text with seven"} <= set(lines)
+        assert out.count("wholly different words\nclean three") == 2  # one document read twice
+        assert sorted(r["n_removed"] for r in line_dedup.summary(df).collect()) == [0, 0, 0, 0, 1, 2]
