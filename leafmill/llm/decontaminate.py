@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, remove, slices
 
 #: ASCII punctuation becomes a space.
 _PUNCTUATION = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
@@ -217,7 +217,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, settings: Settings = Se
     return out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "edits")
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents without a benchmark passage, with the columns of ``docs``; rows with a null id are judged as one."""
-    found = contamination(docs, benchmark, id_col=id_col, **options).where("contaminated").select(F.col("doc_id").alias("__found")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(found["__found"]), "left_anti")
+def _clean(docs: DataFrame, items: list, settings: Settings, text_col: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+
+    def run(batches):
+        index = Index(shared.value, settings)
+        for batch in slices(batches, weigh=text_col):
+            yield batch.filter(pa.array([not index.matches(x) for x in batch.column(text_col).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), block_bytes: int = 8 << 20, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents without a benchmark passage, with the columns of ``docs``.
+
+    Every row is judged by its own text in the scan, whatever its id.  Further blocks of items scan what is left.
+    """
+    out, written = docs, None
+    blocks = item_blocks(benchmark, item_col, item_text, block_bytes)
+    block, after = next(blocks, []), next(blocks, None)
+    while after is not None:
+        left = materialize(_clean(out, block, settings, text_col), "clean")
+        if written is not None:
+            remove(written)
+        out = written = left
+        block, after = after, next(blocks, None)
+    return _clean(out, block, settings, text_col)

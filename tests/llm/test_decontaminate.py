@@ -81,3 +81,12 @@ def test_awkward_rows_blocks_and_filter(spark):
     assert dc.keep_clean(docs, bench).columns == docs.columns
     assert dc.keep_clean(docs, bench).count() == len(rows) - 2
     assert dc.contamination(docs.limit(0), bench).collect() == [] and not dc.contamination(docs, bench.limit(0)).where("contaminated").count()
+
+
+def test_filter_judges_rows_not_ids(spark):
+    passage = " ".join(f"word{k}x{k * k % 97}" for k in range(40))
+    rows = [(None, passage), (None, "a clean text without an id"), (None, None), (4, "clean under a shared id"), (4, "before " + passage), (5, "other " + passage[::-1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, passage), (2, passage[::-1])], "item_id long, text string")
+    for block in (8 << 20, 1):
+        assert sorted(str(r["text"]) for r in dc.keep_clean(docs, bench, block_bytes=block).collect()) == ["None", "a clean text without an id", "clean under a shared id"]
