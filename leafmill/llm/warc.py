@@ -100,16 +100,19 @@ def write(pages: DataFrame, uri: str, **columns: str) -> DataFrame:
 
 
 class _Bytes:
-    """Bytes of a file by position, read ahead in steps."""
+    """Bytes of a file by position, read ahead in steps; beyond the file's end there are none."""
 
     def __init__(self, file, step: int = 1 << 20):
-        self.file, self.step, self.start, self.data = file, step, 0, b""
+        self.file, self.step, self.start, self.data, self.ended = file, step, 0, b"", False
 
     def at(self, pos: int, n: int) -> bytes:
-        end = self.start + len(self.data)
-        if pos < self.start or pos + n > end:
+        if pos < self.start or pos + n > self.start + len(self.data) and not self.ended:
             self.file.seek(pos)
-            self.start, self.data = pos, self.file.read(max(n, self.step))
+            parts, left = [], max(n, self.step)
+            while left and (some := self.file.read(left)):
+                parts.append(some)
+                left -= len(some)
+            self.start, self.data, self.ended = pos, b"".join(parts), left > 0
         return self.data[pos - self.start : pos - self.start + n]
 
 
@@ -137,10 +140,11 @@ def records(file, start: int, end: int) -> Iterator[tuple[int, dict]]:
     """``(position, record)`` of the members that begin in ``[start, end)``.
 
     A candidate found by scanning is taken only if what follows it is the file's end or another valid member, so
-    bytes inside a member that look like one do not count; the members after it are found without scanning.
+    bytes inside a member that look like one do not count; the members after it are found without scanning.  Nothing
+    is looked for beyond the file's end, wherever the range ends.
     """
     data, pos, trusted = _Bytes(file), start, start == 0
-    while pos < end:
+    while pos < end and data.at(pos, 1):
         found = member(data, pos) if data.at(pos, 3) == MAGIC else None
         if found and not trusted and data.at(found[1], 1) and not member(data, found[1]):
             found = None
@@ -151,17 +155,19 @@ def records(file, start: int, end: int) -> Iterator[tuple[int, dict]]:
         pos, trusted = pos + 1, False
         while pos < end:
             some = data.at(pos, min(1 << 16, end - pos) + 2)
+            if len(some) < len(MAGIC):
+                return
             k = some.find(MAGIC)
             if k >= 0:
                 pos += k
                 break
-            pos += max(1, len(some) - 2)
+            pos += len(some) - 2
 
 
 def read(files: DataFrame, uri: str, range_mb: float = 8, keep_payload: bool = True) -> DataFrame:
     """All records of the archives ``files(path, bytes)`` in ``uri``, by byte ranges of ``range_mb`` spread over the tasks."""
     step = int(range_mb * 2**20)
-    ranges = files.select("path", F.explode(F.sequence(F.lit(0), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(step))).alias("start"))
+    ranges = files.select("path", "bytes", F.explode(F.sequence(F.lit(0), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(step))).alias("start"))
     spread = ranges.repartition("path", "start")
 
     def run(batches):
@@ -170,7 +176,7 @@ def read(files: DataFrame, uri: str, range_mb: float = 8, keep_payload: bool = T
             for row in batch.to_pylist():
                 rows, size = [], 0
                 with fs.open_input_file(f"{folder}/{row['path']}") as file:
-                    for _, r in records(file, row["start"], row["start"] + step):
+                    for _, r in records(file, row["start"], min(row["start"] + step, row["bytes"])):
                         ident = [h.removeprefix("<urn:leafmill:page:").removesuffix(">") for h in (r["warc-record-id"], r.get("warc-refers-to", ""))]
                         rows.append({"page_id": int(ident[0]) if ident[0] else None, "payload_bytes": int(r["x-payload-length"]), "payload_digest": r["warc-payload-digest"].removeprefix("sha1:"), "record_type": r["warc-type"], "refers_to": int(ident[1]) if ident[1] else None, "url": r.get("warc-target-uri"), "payload": r["payload"] if keep_payload else None})
                         size += len(r["payload"])

@@ -63,3 +63,30 @@ def test_every_split_gives_every_record_once(step):
     found = [pos for a in range(0, len(data), step) for pos, _ in warc.records(io.BytesIO(data), a, a + step)]
     assert found == starts
     assert len(gzip.decompress(data).split(b"WARC/1.1\r\n")) >= len(members)
+
+
+class CountingFile(io.BytesIO):
+    reads = 0
+
+    def read(self, *args):
+        self.reads += 1
+        return super().read(*args)
+
+
+@pytest.mark.parametrize("beyond", [0, 1, 10**6, 10**9])
+def test_reads_stop_at_the_files_end(beyond):
+    data = b"".join(warc.record(i, "u", "d", 3, b"abc", None) for i in range(50))
+    for tail in (b"", b"\x1f", warc.MAGIC, b"garbage" * 10):
+        file = CountingFile(data + tail)
+        assert len(list(warc.records(file, 0, len(data) + beyond))) == 50
+        assert file.reads <= 4
+    assert list(warc.records(CountingFile(b""), 0, 10**9)) == []
+
+
+def test_files_that_read_short():
+    class Short(io.BytesIO):
+        def read(self, n=-1):
+            return super().read(min(n, 100))
+
+    data = b"".join(warc.record(i, "u", "d", 300, bytes(300), None) for i in range(9))
+    assert len(list(warc.records(Short(data), 0, len(data)))) == 9
