@@ -13,10 +13,10 @@ CLASSES = {"exact": "exact", "replaced": "differs", "dropped": "differs", "swapp
 
 def cases(index: DataFrame, page: str, seed: int, length: int = 10) -> DataFrame:
     """One quotation of ``length`` words a page: ``query, cls, source, words``, drawn and altered by seeded hashes."""
-    long = index.where(F.size("words") >= length + 1)
+    long = index.where(F.size("norms") >= length + 1)
     draw = lambda k, n: F.pmod(F.xxhash64(F.col(page), F.lit(seed), F.lit(k)), n.cast("long")).cast("int")
     names = F.array(*[F.lit(c) for c in CLASSES])
-    base = long.select(F.col(page).alias("query"), F.get(names, draw(1, F.lit(len(CLASSES)))).alias("cls"), F.slice("words", draw(2, F.size("words") - length + 1) + 1, length)["norm"].alias("w"), (draw(3, F.lit(length - 3)) + 1).alias("at"))
+    base = long.select(F.col(page).alias("query"), F.get(names, draw(1, F.lit(len(CLASSES)))).alias("cls"), F.slice("norms", draw(2, F.size("norms") - length + 1) + 1, length).alias("w"), (draw(3, F.lit(length - 3)) + 1).alias("at"))
     part = lambda a, b: F.slice("w", a, b)
     at = F.col("at")
     altered = (

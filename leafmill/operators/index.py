@@ -2,19 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import materialize, spread
 
 #: Part of every stamp; a new layout makes all rows stale.
 VERSION = "v1"
 
 
 def index_pages(pages: DataFrame, page: str = "page_id", book: str = "book", text: str = "text", arabic: bool = True) -> DataFrame:
-    """Rows ``page, book, norm, words`` for pages with a word; whole pages, no shuffle."""
-    words = pages.withColumn("words", T.words(F.col(text), arabic))
-    return words.where(F.size("words") > 0).withColumn("norm", F.array_join(F.col("words.norm"), " "))
+    """``pages`` without the text, with ``norm`` (the words, one space apart), ``norms`` and ``raws``, where there is a word.
+
+    ``raws`` are the words as written, null where they are the normal forms.  Each text is folded once: the explode of
+    one value keeps the optimizer from working out the expression again for the filter and for each use.
+    """
+    cut = pages.select(*[c for c in pages.columns if c != text], F.explode(F.array(T.pieces(F.col(text), arabic))).alias("__pieces"))
+    normal = cut.select("*", F.explode(F.array(T.folded(F.col("__pieces")))).alias("norm")).where("norm <> ''")
+    written = F.trim(F.regexp_replace("__pieces", "  +", " "))
+    return normal.select(*[c for c in pages.columns if c != text], "norm", F.split("norm", " ").alias("norms"), F.when(written != F.col("norm"), F.split(written, " ")).alias("raws"))
+
+
+#: Indexes written by this application: where each lies.
+_WRITTEN: dict[tuple, DataFrame] = {}
+
+
+def state_of(spark: SparkSession, path: str) -> tuple:
+    """What tells one state of a table's files from another: their number, sizes, times and names."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
+    return tuple(files.agg(F.count("*"), F.sum("length"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first())
+
+
+def open_index(pages: DataFrame, path: str, **options) -> DataFrame:
+    """The index of ``pages`` (read from ``path``), written once for each state of the files and read by all queries."""
+    spark = pages.sparkSession
+    key = (spark.sparkContext.applicationId, path, state_of(spark, path), tuple(pages.columns), tuple(sorted(options.items())))
+    if key not in _WRITTEN:
+        index = materialize(index_pages(spread(pages), **options), "index")
+        index.vocabulary = materialize(vocabulary(index), "vocabulary")
+        _WRITTEN[key] = index
+    return _WRITTEN[key]
+
+
+def vocabulary(index: DataFrame) -> DataFrame:
+    """``word, uses, pages`` of all words of an index: its written table, or worked out."""
+    if hasattr(index, "vocabulary"):
+        return index.vocabulary
+    by_page = index.select(F.monotonically_increasing_id().alias("page"), F.explode("norms").alias("word")).groupBy("page", "word").agg(F.count("*").alias("uses"))
+    return by_page.groupBy("word").agg(F.sum("uses").alias("uses"), F.count("*").alias("pages"))
 
 
 def index_lines(lines: DataFrame) -> DataFrame:
@@ -29,7 +65,7 @@ def index_lines(lines: DataFrame) -> DataFrame:
     word = token.select("page_id", "book", "kind", "ord", "line_id", "i", T.token_state(F.col("t.conf"), F.col("t.res"), F.col("reviewed")).alias("state"), F.posexplode(T.words(F.col("t.t"))).alias("k", "w"))
     item = F.struct("ord", "i", "k", "line_id", F.col("w.raw").alias("text"), F.col("w.norm").alias("norm"), "state")
     rows = word.groupBy("page_id", "book", "kind").agg(F.sort_array(F.collect_list(item)).alias("words"))
-    return rows.withColumn("norm", F.array_join(F.col("words.norm"), " "))
+    return rows.withColumns({"norms": F.col("words.norm"), "norm": F.array_join(F.col("words.norm"), " ")})
 
 
 def stamps(lines: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,27 +41,25 @@ def printed_pages(pages: DataFrame) -> DataFrame:
 def sequence_anomalies(pages: DataFrame) -> DataFrame:
     """``book, number, label, printed, expected`` of pages whose printed number breaks the sequence.
 
-    A fold per book: an uncertain reading leaves the state as it was.  A book is bounded, so its pages fit a task.
+    A reading follows another if it is larger, by no more than the pages between them.  A reading that neither follows
+    the one before nor is followed by the next, while those two follow each other, is uncertain and stepped over; so
+    the next one is never a break, and in a run of such readings every second one is stepped over.  Of the others, one
+    that does not follow is a duplicate or a gap.  A book needs three readings.
     """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("number")
-        seen = [(p, int(n), int(r)) for p, (n, r) in enumerate(zip(pdf["number"], pdf["printed"].fillna(-1))) if r >= 0]
-        fits = lambda a, b: a[2] < b[2] <= a[2] + b[0] - a[0]
-        rows, prev = [], None
-        for k, cur in enumerate(seen if len(seen) >= 3 else []):
-            if prev is not None and not fits(prev, cur):
-                after = seen[k + 1] if k + 1 < len(seen) else None
-                if after and not fits(cur, after) and fits(prev, after):
-                    rows.append((cur[1], "uncertain", cur[2], prev[2] + cur[0] - prev[0]))
-                    continue
-                rows.append((cur[1], "duplicate" if cur[2] == prev[2] else "gap", cur[2], prev[2]))
-            prev = cur
-        out = pd.DataFrame(rows, columns=["number", "label", "printed", "expected"])
-        out.insert(0, "book", pdf["book"].iloc[0])
-        return out
-
-    return pages.select("book", F.col("number").cast("long"), F.col("printed").cast("long")).groupBy("book").applyInPandas(one, "book string, number long, label string, printed long, expected long")
+    book = Window.partitionBy("book").orderBy("number")
+    placed = pages.select("book", F.col("number").cast("long").alias("number"), F.col("printed").cast("long").alias("printed"), F.row_number().over(book).alias("at"))
+    read = placed.where("printed >= 0").withColumn("readings", F.count("*").over(Window.partitionBy("book"))).where("readings >= 3")
+    follows = lambda a, b: (a["printed"] < b["printed"]) & (b["printed"] <= a["printed"] + b["at"] - a["at"])
+    here = F.struct("number", "printed", "at")
+    near = read.select("book", "number", here.alias("own"), F.lag(here).over(book).alias("before"), F.lead(here).over(book).alias("after"), F.row_number().over(book).alias("nth"))
+    own, before, after = F.col("own"), F.col("before"), F.col("after")
+    near = near.withColumn("odd", F.coalesce(~follows(before, own) & ~follows(own, after) & follows(before, after), F.lit(False)))
+    # Places since the last reading that was not odd: 1, 3, 5... are stepped over.
+    since = F.col("nth") - F.coalesce(F.max(F.when(~F.col("odd"), F.col("nth"))).over(book.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    near = near.withColumn("skipped", since % 2 == 1).withColumn("after_skip", F.coalesce(F.lag("skipped").over(book), F.lit(False)))
+    label = F.when(F.col("skipped"), "uncertain").when(F.col("after_skip") | before.isNull() | follows(before, own), None).when(before["printed"] == own["printed"], "duplicate").otherwise("gap")
+    expected = before["printed"] + F.when(F.col("skipped"), own["at"] - before["at"]).otherwise(0)
+    return near.select("book", "number", label.alias("label"), own["printed"].alias("printed"), expected.alias("expected")).where("label IS NOT NULL")
 
 
 def neighbour(pages: DataFrame, step: int) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
@@ -34,7 +36,7 @@ def _pages(spark, sf):
 
 
 def _index(spark, sf):
-    return I.index_pages(_pages(spark, sf), arabic=False)
+    return I.open_index(_pages(spark, sf), f"{sf}/documents.parquet", page="doc_id", arabic=False)
 
 
 def _items(spark, sf, words=None):
@@ -46,8 +48,7 @@ def _items(spark, sf, words=None):
  SELECT query, doc_id, start FROM g JOIN (SELECT query, array_to_string(qs[1:3], ' ') AS phrase FROM q WHERE len(qs) >= 3) ON gram = phrase""")
 def phrase_search(spark, sf):
     """All places of every item's first three words."""
-    q = _items(spark, sf, 3).select("query", F.array_join("words", " ").alias("phrase"))
-    return X.phrase_hits(_index(spark, sf), q, "doc_id", 3).select("query", "doc_id", F.col("start").cast("long").alias("start"))
+    return X.phrase_hits(_index(spark, sf), _items(spark, sf, 3), "doc_id", 3).select("query", "doc_id", F.col("start").cast("long").alias("start"))
 
 
 @query(f"""WITH {_PAGES}, w AS (SELECT doc_id, book, number, ws, (SELECT arg_min(b.ws, b.number) FROM p b WHERE b.book = a.book AND b.number IN (a.number + 1, a.number + 2) AND len(b.ws) > 0) AS nx FROM p a WHERE len(ws) > 0),
@@ -58,9 +59,9 @@ def phrase_search_cross_page(spark, sf):
     """Phrases over a page break: each page's last word with the next page's first two is a query."""
     ix = _index(spark, sf)
     near = B.neighbour(ix, 1).where("near IS NOT NULL")
-    heads = ix.select(F.col("book").alias("b"), F.col("number").alias("n"), F.slice("words", 1, 2)["norm"].alias("head")).where(F.size("head") == 2)
+    heads = ix.select(F.col("book").alias("b"), F.col("number").alias("n"), F.slice("norms", 1, 2).alias("head")).where(F.size("head") == 2)
     q = ix.join(near, ["book", "number"]).join(heads, (F.col("book") == F.col("b")) & (F.col("near") == F.col("n")))
-    q = q.select(F.col("doc_id").alias("query"), F.concat_ws(" ", F.element_at("words", -1)["norm"], "head").alias("phrase"))
+    q = q.select(F.col("doc_id").alias("query"), F.concat(F.slice("norms", -1, 1), F.col("head")).alias("words"))
     return X.across_pages(ix, q, "doc_id", "book", "number", 3).select("query", "doc_id", F.col("cut").cast("long").alias("cut"))
 
 
@@ -79,46 +80,47 @@ def all_words_search(spark, sf):
  SELECT query, doc_id, s AS start, CASE WHEN s > 12 THEN '… ' ELSE '' END || array_to_string(ws[greatest(s - 12, 0) + 1 : s], ' ') AS before, array_to_string(ws[s + 1 : s + 3], ' ') AS match, array_to_string(ws[s + 4 : s + 15], ' ') || CASE WHEN len(ws) > s + 15 THEN ' …' ELSE '' END AS after FROM h""")
 def kwic_context(spark, sf):
     """Hits with twelve words before and after; words are fetched for the hits only."""
-    ix = _index(spark, sf)
-    q = _items(spark, sf, 3).select("query", F.array_join("words", " ").alias("phrase"))
-    hits = X.phrase_hits(ix, q, "doc_id", 3).join(ix.select("doc_id", F.col("words.norm").alias("ws")), "doc_id")
-    return hits.select("query", "doc_id", F.col("start").cast("long").alias("start"), X.context(F.col("ws"), F.col("start"), F.col("start") + 3).alias("c")).select("query", "doc_id", "start", "c.*")
+    hits = X.phrase_places(_index(spark, sf), _items(spark, sf, 3), "doc_id", 3)
+    return hits.select("query", "doc_id", F.col("start").cast("long").alias("start"), X.context(F.col("norms"), F.col("start"), F.col("start") + 3).alias("c")).select("query", "doc_id", "start", "c.*")
 
 
 @query(f"""WITH {_PAGES} SELECT doc_id, book, len(ws) AS n_words, md5(array_to_string(ws, ' ')) AS norm_md5, len(list_distinct(ws)) AS n_distinct FROM p WHERE len(ws) > 0""")
 def token_index(spark, sf):
     """The index of all pages: normal text (by digest) and word counts."""
-    return _index(spark, sf).select("doc_id", "book", F.size("words").cast("long").alias("n_words"), F.md5(F.col("norm").cast("binary")).alias("norm_md5"), F.size(F.array_distinct("words.norm")).cast("long").alias("n_distinct"))
+    return _index(spark, sf).select("doc_id", "book", F.size("norms").cast("long").alias("n_words"), F.md5(F.col("norm").cast("binary")).alias("norm_md5"), F.size(F.array_distinct("norms")).cast("long").alias("n_distinct"))
 
 
 @query(f"""WITH {_PAGES}, t AS (SELECT book, unnest(ws) AS w FROM p) SELECT w AS word, count(*) AS n, count(DISTINCT book) AS books FROM t GROUP BY w ORDER BY n DESC, word LIMIT 100""")
 def vocab_top(spark, sf):
     """The hundred most frequent words (a report)."""
-    t = _index(spark, sf).select("book", F.explode("words.norm").alias("word")).groupBy("word", "book").agg(F.count("*").alias("k"))
+    t = _index(spark, sf).select("book", F.explode("norms").alias("word")).groupBy("word", "book").agg(F.count("*").alias("k"))
     return t.groupBy("word").agg(F.sum("k").alias("n"), F.count("*").alias("books")).orderBy(F.desc("n"), "word").limit(100)
 
 
-@query(f"""WITH {_PAGES}, {_ITEMS}, t AS (SELECT DISTINCT doc_id, unnest(ws) AS w FROM p), o AS (SELECT query, doc_id, count(*) AS overlap FROM t JOIN (SELECT DISTINCT query, unnest(qs) AS w FROM q) USING (w) GROUP BY ALL)
+@query(f"""WITH {_PAGES}, {_ITEMS}, t AS (SELECT DISTINCT doc_id, unnest(ws) AS w FROM p), a AS (SELECT query, doc_id, count(*) AS overlap FROM t JOIN (SELECT DISTINCT query, unnest(qs) AS w FROM q) USING (w) GROUP BY ALL),
+ l AS (SELECT query, list_sort(list_transform(list_distinct(qs), lambda w: struct_pack(l := -length(w), w := w)))[1:6] AS longest FROM q),
+ o AS (SELECT query, doc_id, overlap FROM a JOIN l USING (query) JOIN (SELECT doc_id, array_to_string(ws, ' ') AS norm FROM p) USING (doc_id) WHERE len(list_filter(longest, lambda x: contains(norm, x.w))) > 0)
  SELECT query, doc_id, overlap, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY overlap DESC, doc_id) AS r FROM o) WHERE r <= 32""")
 def prefilter_overlap_topk(spark, sf):
-    """The 32 pages that share most distinct words with each item."""
-    o = X.overlaps(_index(spark, sf), _items(spark, sf), "doc_id")
+    """The 32 pages that share most distinct words with each item, of those that contain one of its six longest words."""
+    o = X.overlaps(_index(spark, sf), _items(spark, sf), "doc_id", prefilter=True)
     return o.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("overlap"), "doc_id"))).where("rank <= 32")
 
 
 @query(f"""WITH {_PAGES}, {_ITEMS}, n AS (SELECT doc_id, text, ' ' || array_to_string(ws, ' ') || ' ' AS norm FROM p), b AS (SELECT query, text AS raw, ' ' || array_to_string(qs, ' ') || ' ' AS qn FROM q JOIN benchmark ON item_id = query)
- SELECT query, doc_id, contains(n.text, raw) AS raw FROM n JOIN b ON contains(norm, qn)""")
+ SELECT query, doc_id, contains(n.text, raw) AS raw FROM n JOIN b ON qn <> '  ' AND contains(norm, qn)""")
 def substring_baseline(spark, sf):
     """Pages that hold an item's normal text, and whether the raw text stands there too.
 
-    Three-word grams find the pages; the substring test runs on those alone.
+    Runs of three words (or of as many as a shorter item has) find the pages; the substring test runs on those alone.
     """
     ix = _index(spark, sf)
-    items = read(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("raw_text"), T.norms(F.col("text"), False).alias("qs"))
-    first = items.where(F.size("qs") >= 3).select("query", F.array_join(F.slice("qs", 1, 3), " ").alias("phrase"))
-    hits = X.phrase_hits(ix, first, "doc_id", 3).select("query", "doc_id").distinct()
-    texts = hits.join(ix.select("doc_id", "text", F.concat(F.lit(" "), "norm", F.lit(" ")).alias("norm")), "doc_id").join(items, "query")
-    return texts.where(F.contains("norm", F.concat(F.lit(" "), F.array_join("qs", " "), F.lit(" ")))).select("query", "doc_id", F.contains("text", "raw_text").alias("raw"))
+    items = read(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("raw_text"), T.norms(F.col("text"), False).alias("qs")).where(F.size("qs") > 0)
+    short = lambda k: items.where(F.least(F.size("qs"), F.lit(3)) == k).select("query", F.slice("qs", 1, k).alias("words"))
+    hits = reduce(DataFrame.union, [X.phrase_places(ix, short(k), "doc_id", k).select("query", "doc_id", "norms") for k in (1, 2, 3)]).dropDuplicates(["query", "doc_id"])
+    found = hits.join(items, "query").where(F.contains(F.concat(F.lit(" "), F.array_join("norms", " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join("qs", " "), F.lit(" "))))
+    texts = read(spark, sf, "documents").select("doc_id", "text")
+    return found.select("query", "doc_id", "raw_text").join(texts, "doc_id").select("query", "doc_id", F.contains("text", "raw_text").alias("raw"))
 
 
 def _duck_markup() -> str:
@@ -126,11 +128,10 @@ def _duck_markup() -> str:
     steps = [(r"(?i)<\s*br\s*/?>", "chr(10)"), (rf"(?i)</\s*({T.BLOCKS})\s*>", "chr(10)"), (r"(?i)</\s*t[dh]\s*>", "' '"), ("<[^>]+>", "''")]
     for pattern, to in steps:
         t = f"regexp_replace({t}, '{pattern}', {to}, 'g')"
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("nbsp", chr(0xA0)), ("amp", "&")):
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("nbsp", chr(0xA0)), ("copy", "©"), ("middot", "·"), ("amp", "&")):
         t = f"replace({t}, '&{name};', '{char}')"
-    for pattern in (r"(?m)^\s{0,3}#{1,6}\s*", r"(?m)^\s*[-:| ]{3,}\s*$", r"(?m)^\s*[-*•]\s+", r"(\*\*|__|`{1,3})"):
-        t = f"regexp_replace({t}, '{pattern}', '', 'g')"
-    t = rf"regexp_replace(replace({t}, '|', ' '), '[ \t\x{{00A0}}\x{{200F}}\x{{200E}}\x{{202A}}-\x{{202E}}]+', ' ', 'g')"
+    lines = rf"array_to_string(list_transform(string_split({t}, chr(10)), lambda s: regexp_replace(s, '^(?:\s{{0,3}}#{{1,6}}\s*)?(?:\s*[-:| ]{{3,}}\s*$|\s*[-*•](?:\s+|$))?', '')), chr(10))"
+    t = rf"regexp_replace(replace(regexp_replace({lines}, '\*\*|__|`+', '', 'g'), '|', ' '), '[ \t\x{{00A0}}\x{{200F}}\x{{200E}}\x{{202A}}-\x{{202E}}]+', ' ', 'g')"
     return f"array_to_string(list_filter(list_transform(string_split({t}, chr(10)), lambda s: trim(s)), lambda s: s <> ''), chr(10))"
 
 
@@ -146,10 +147,10 @@ def markup_strip(spark, sf):
 def word_f1_pairs(spark, sf):
     """Word F1 of each page with the next: a multiset intersection."""
     ix = _index(spark, sf)
-    c = ix.select("doc_id", "book", "number", F.explode("words.norm").alias("w")).groupBy("doc_id", "book", "number", "w").agg(F.count("*").alias("n"))
+    c = ix.select("doc_id", "book", "number", F.explode("norms").alias("w")).groupBy("doc_id", "book", "number", "w").agg(F.count("*").alias("n"))
     b = c.select(F.col("book"), (F.col("number") - 1).alias("number"), "w", F.col("n").alias("m"))
     common = c.join(b, ["book", "number", "w"]).groupBy("doc_id").agg(F.sum(F.least("n", "m")).alias("common"))
-    s = ix.select("doc_id", "book", "number", F.size("words").alias("size"))
+    s = ix.select("doc_id", "book", "number", F.size("norms").alias("size"))
     pairs = s.join(s.select("book", (F.col("number") - 1).alias("number"), F.col("size").alias("other")), ["book", "number"]).join(common, "doc_id", "left")
     return pairs.select("doc_id", F.round(2.0 * F.coalesce("common", F.lit(0)) / (F.col("size") + F.col("other")), 6).alias("f1"))
 
@@ -211,7 +212,11 @@ def printed_page_inference(spark, sf):
     return B.printed_pages(_numbered(spark, sf))
 
 
-@query()
+@query(f"""WITH {_NUMBERED}, o AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY number) AS pos FROM n), r AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY book) AS k FROM o WHERE printed >= 0) WHERE k >= 3),
+ l AS (SELECT book, number, printed, pos, lag(printed) OVER w AS p, lag(pos) OVER w AS pa, lead(printed) OVER w AS f, lead(pos) OVER w AS fa, row_number() OVER w AS nth FROM r WINDOW w AS (PARTITION BY book ORDER BY number)),
+ c AS (SELECT *, coalesce(NOT (p < printed AND printed <= p + pos - pa) AND NOT (printed < f AND f <= printed + fa - pos) AND p < f AND f <= p + fa - pa, false) AS odd FROM l),
+ s AS (SELECT *, (nth - coalesce(max(CASE WHEN NOT odd THEN nth END) OVER (PARTITION BY book ORDER BY number), 0)) % 2 = 1 AS skipped FROM c), b AS (SELECT *, coalesce(lag(skipped) OVER (PARTITION BY book ORDER BY number), false) AS after FROM s)
+ SELECT book, number, CASE WHEN skipped THEN 'uncertain' WHEN p = printed THEN 'duplicate' ELSE 'gap' END AS label, printed, p + CASE WHEN skipped THEN pos - pa ELSE 0 END AS expected FROM b WHERE skipped OR (NOT after AND NOT (p < printed AND printed <= p + pos - pa))""")
 def sequence_anomalies(spark, sf):
     """Breaks in the printed numbers, with uncertain readings stepped over."""
     return B.sequence_anomalies(_numbered(spark, sf))
@@ -273,14 +278,14 @@ def find_replace(spark, sf):
 @query(f"""WITH {_PAGES}, t AS (SELECT unnest(ws) AS w FROM p), v AS (SELECT w, length(w) AS l, count(*) AS n FROM t GROUP BY w HAVING count(*) >= 3 AND length(w) >= 2) SELECT l AS length, count(*) AS words, CAST(sum(n) AS BIGINT) AS uses, min(w) AS first FROM v GROUP BY l""")
 def length_buckets(spark, sf):
     """Vocabulary by word length: words used three times or more."""
-    v = _index(spark, sf).select(F.explode("words.norm").alias("w")).groupBy("w").agg(F.count("*").alias("n")).where((F.col("n") >= 3) & (F.length("w") >= 2))
+    v = _index(spark, sf).select(F.explode("norms").alias("w")).groupBy("w").agg(F.count("*").alias("n")).where((F.col("n") >= 3) & (F.length("w") >= 2))
     return v.groupBy(F.length("w").cast("long").alias("length")).agg(F.count("*").alias("words"), F.sum("n").alias("uses"), F.min("w").alias("first"))
 
 
 @query(f"""WITH {_PAGES}, t AS (SELECT unnest(ws) AS w FROM p), c AS (SELECT lower(w) AS k, w, count(*) AS n FROM t GROUP BY ALL) SELECT k AS norm, arg_max(w, (n, -ord)) AS form, CAST(sum(n) AS BIGINT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY w COLLATE "C") AS ord FROM c) GROUP BY k""".replace(' COLLATE "C"', ""))
 def printed_form(spark, sf):
     """The most used written form of each word; ties go to the first in byte order."""
-    c = _index(spark, sf).select(F.explode("words.norm").alias("w")).groupBy(F.lower("w").alias("k"), "w").agg(F.count("*").alias("n"))
+    c = _index(spark, sf).select(F.explode("norms").alias("w")).groupBy(F.lower("w").alias("k"), "w").agg(F.count("*").alias("n"))
     return c.groupBy(F.col("k").alias("norm")).agg(F.min_by("w", F.struct(-F.col("n"), "w")).alias("form"), F.sum("n").alias("n"))
 
 
@@ -323,8 +328,8 @@ def relative_times(spark, sf):
 
 @query()
 def repetition_cut(spark, sf):
-    """Texts with a repeating tail cut, and how much went."""
-    return read(spark, sf, "documents").select("doc_id", F.length("text").alias("before"), F.length(S.truncate_repetition("text")).alias("after")).where("after < before")
+    """Texts with a repeating tail cut, and how much went; those of even length count as having run into a limit."""
+    return read(spark, sf, "documents").select("doc_id", F.length("text").alias("before"), F.length(S.truncate_repetition("text", F.length("text") % 2 == 0)).alias("after")).where("after < before")
 
 
 @query()
@@ -360,7 +365,7 @@ def reading_sanity(spark, sf):
     """Whether each item's best page reads like it: lengths and word F1."""
     ix = _index(spark, sf)
     best = X.overlaps(ix, _items(spark, sf), "doc_id").groupBy("query").agg(F.min_by("doc_id", F.struct(-F.col("overlap"), "doc_id")).alias("doc_id"))
-    pairs = best.join(_items(spark, sf), "query").join(ix.select("doc_id", F.col("words.norm").alias("ws")), "doc_id")
+    pairs = best.join(_items(spark, sf), "query").join(ix.select("doc_id", F.col("norms").alias("ws")), "doc_id")
     f1 = W.word_f1(pairs, "query", "ws", "words").select("query", F.round("f1", 6).alias("f1"))
     return pairs.join(f1, "query").select("query", "doc_id", "f1", W.sanity(F.size("ws"), F.size("words"), F.col("f1"), F.lit(False)).alias("s")).select("query", "doc_id", "f1", "s.reason", "s.ok")
 

@@ -35,7 +35,7 @@ def maintain_index(pages: DataFrame, path: str, checkpoint: str, page: str = "pa
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         last = batch.groupBy(page, book).agg(F.max_by(text, "version").alias(text))
-        fresh = I.index_pages(last, page, book, text).select(page, "norm", "words", book)
+        fresh = I.index_pages(last, page, book, text).select(page, "norm", "norms", "raws", book)
         fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
         if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
             touched = last.select(book).distinct()
