@@ -168,7 +168,9 @@ def read(files: DataFrame, uri: str, range_mb: float = 8, keep_payload: bool = T
     """All records of the archives ``files(path, bytes)`` in ``uri``, by byte ranges of ``range_mb`` spread over the tasks."""
     step = int(range_mb * 2**20)
     ranges = files.select("path", "bytes", F.explode(F.sequence(F.lit(0), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(step))).alias("start"))
-    spread = ranges.repartition("path", "start")
+    # A row stands for 8 MB, so the number of tasks is given: by size, all rows would end in one.
+    n = int(files.agg(F.coalesce(F.sum(F.ceil(F.col("bytes") / step)), F.lit(0))).first()[0])
+    spread = ranges.repartition(max(1, min(n, max(4 * files.sparkSession.sparkContext.defaultParallelism, n // 32))), "path", "start")
 
     def run(batches):
         fs, folder = _filesystem(uri)
