@@ -29,14 +29,24 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/leafmill-{tag}-{uuid.uuid4().hex}"
 
 
+#: Spark's own setting that deletes an execution's shuffle files when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    It cuts lineage with files that outlive any executor, so a lost executor costs only its running tasks.
+    It cuts lineage with files that outlive any executor, so a lost executor costs only its running tasks.  What the
+    write has shuffled is not read again and is deleted with it.
     """
-    path = new_path(df.sparkSession, tag)
-    df.write.options(**options).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, tag)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
 
