@@ -1,50 +1,20 @@
-"""Shared helpers: the folder all executors see, written intermediate tables, Arrow batches, words."""
+"""Shared helpers: written intermediate tables, Arrow batches, words."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (local tests).
-LOCAL_FALLBACK = "file:///tmp/checkpoints/leafmill"
+from ..storage import materialize, new_path, remove, shared_dir  # noqa: F401
 
 #: The six ASCII white-space characters that separate words, as a Java/RE2 class body.
 SPACE_CLASS = r"\x20\x09-\x0D"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one if unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK).rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/leafmill-{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    It cuts lineage with files that outlive any executor, so a lost executor costs only its running tasks.
-    """
-    path = new_path(df.sparkSession, tag)
-    df.write.options(**options).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.written_at = path
-    return out
-
-
-def remove(*tables: DataFrame) -> None:
-    """Delete tables made by :func:`materialize` that nothing reads any more."""
-    for df in tables:
-        spark, path = df.sparkSession, df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` as UTF-8 bytes: bytes.split() knows just these six separators."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

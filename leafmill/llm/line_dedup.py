@@ -1,24 +1,41 @@
 """Line deduplication by an exact set-similarity join, in DataFrame operations only.
 
-A line is the set of its lower-cased words.  Equal sets are met first, by hash.  The different sets are joined by
+A line is the set of its lower-cased words.  The texts are cut into words once; from there on a word is its 64-bit
+hash, and sets are compared by these.  Equal sets are met first, by a hash of the set.  The different sets are joined by
 prefix filtering: words are ordered by rarity (a table of counts by hash bucket), a set of n words publishes its
 ``n - ceil(8n/9) + 1`` rarest as the shorter side and looks up its ``n - ceil(4n/5) + 1`` rarest as the longer one,
-and pairs that share such a word pass a length filter, a positional filter and a bit signature before their Jaccard
-similarity (0.8 or more) is verified on the words themselves.  Of a matching pair the later line is removed.
+and pairs that share such a word pass a length filter, a positional filter and a signature of their rare words before their Jaccard
+similarity (0.8 or more) is verified on the whole sets.  Of a matching pair the later line is removed.
 
-Where many sets share a rare word (near copies of one line), all of them are compared with the earliest first; pairs
-of lines that this settles are not formed.
+One earlier match is enough to remove a line.  So the sets that share one of their rarest words are first compared with
+a few early ones alone, which settles the copies of a line at a cost that grows with their number, not with its
+square; then pairs are formed only where the later side is not settled.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, materialize, remove
 
-#: Buckets of the table of word counts, words of the bit filter of candidate lines, and the size of a hot group.
-COUNTS, BITS, HOT = 1 << 20, 1 << 16, 200
+#: Buckets of the table of word counts, words of the bit filter of candidate sets, and words at either end of a prefix by which copies meet first.
+COUNTS, BITS, LEAD = 1 << 20, 1 << 16, 2
+#: Sets of each group, the earliest of as many parts of it, that all others are compared with first.
+HEADS = 8
+#: Parts, a power of two, in which the sets' prefixes are shuffled one after the other: so much less disk at a time.
+PASSES = 2
+#: Level of a word that one line has.
+ALONE = 5
+#: Shares of all words in lines that the two signatures reach up to.
+RARE = (0.25, 0.67)
+#: What the filters of a pair read of either side, beside its size.
+SIGNED = ("r0", "r1")
+#: Orders a null id before all others.
+NO_ID = -(1 << 63)
 
 
 def _bit(place: Column) -> Column:
@@ -31,18 +48,23 @@ def _quarter(k: int):
     return lambda a, x: F.when(F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(3)) == k, a.bitwiseOR(_bit(x))).otherwise(a)
 
 
-def line_words(line: Column) -> Column:
-    """Distinct lower-cased words of a line."""
-    return F.array_distinct(F.array_remove(F.split(F.lower(line), f"[{SPACE_CLASS}]+"), ""))
-
-
 def text_key(text_col: str) -> Column:
     """Tells apart documents that share an id, or have none, by their text."""
     return F.xxhash64(F.col(text_col).cast("string"))
 
 
-def exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("tid"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("line_no", "line"))
+def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, tid, line_no, sid, n, h`` of every line with a word: its set's hash and size, and its words' hashes in order.
+
+    The explode of one value binds it to a name, so it is worked out once.
+    """
+    low = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("tid"), F.explode(F.array(F.lower(F.col(text_col).cast("string")))).alias("low"))
+    other = r"[\x09\x0B-\x0D]"
+    plain = F.when(F.col("low").rlike(other), F.regexp_replace("low", other, " ")).otherwise(F.col("low"))
+    lines = low.select("doc_id", "tid", F.posexplode(F.split(plain, "\n")).alias("line_no", "line"))
+    hashes = F.sort_array(F.array_remove(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit(""))))
+    words = lines.select("doc_id", "tid", "line_no", F.explode(F.array(hashes)).alias("h")).where(F.size("h") > 0)
+    return words.select("doc_id", "tid", "line_no", F.xxhash64("h").alias("sid"), F.size("h").alias("n"), "h")
 
 
 def _dense(df: DataFrame, size: int, key: str, value: str) -> Column:
@@ -52,12 +74,11 @@ def _dense(df: DataFrame, size: int, key: str, value: str) -> Column:
     return filled.agg(F.array_sort(F.collect_list(F.struct(key, value)))[value].alias("x")).scalar()
 
 
-def rarity(docs: DataFrame, text_col: str) -> bytes:
-    """Count levels (four a doubling, 1 to 127) of all words by hash bucket, a byte each."""
-    words = docs.select(F.explode(F.split(F.lower(F.col(text_col).cast("string")), f"[{SPACE_CLASS}]+")).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(COUNTS - 1)).alias("b")).agg(F.count("*").alias("c"))
+def rarity(words: DataFrame) -> bytes:
+    """Levels (four a doubling, 1 to 127) of the numbers of lines with a word, by hash bucket, a byte each."""
+    counts = words.select(F.explode("h").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(COUNTS - 1)).alias("b")).agg(F.count("*").alias("c"))
     level = F.least(F.lit(127), 1 + F.round(4 * F.log2(F.col("c") + 1))).cast("int")
-    dense = counts.select("b", level.alias("v")).union(docs.sparkSession.range(COUNTS).select(F.col("id").alias("b"), F.lit(1).alias("v"))).groupBy("b").agg(F.max("v").alias("v"))
+    dense = counts.select("b", level.alias("v")).union(words.sparkSession.range(COUNTS).select(F.col("id").alias("b"), F.lit(1).alias("v"))).groupBy("b").agg(F.max("v").alias("v"))
     # COUNTS bytes; a subquery cannot stand in a lambda, so the table goes into the plan as a constant.
     return dense.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "v")))["v"], lambda v: F.char(v)), "")).first()[0].encode("ascii")
 
@@ -67,84 +88,112 @@ def _level(levels: bytes, h: Column) -> Column:
     return F.ascii(F.substr(F.lit(bytearray(levels)), place, F.lit(1)).cast("string")).cast("long")
 
 
-def signed(lines: DataFrame, levels: bytes) -> DataFrame:
-    """``doc_id, tid, line_no, sid, n, sig, pre`` of every line with a word: its set's hash, size, signature and prefix."""
-    words = lines.select("doc_id", "tid", "line_no", F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") > 0)
-    keyed = words.select("doc_id", "tid", "line_no", F.size("h").alias("n"), F.sort_array(F.transform("h", lambda h: F.shiftleft(_level(levels, h), 54).bitwiseOR(h.bitwiseAND(F.lit((1 << 54) - 1))))).alias("k"))
-    sig = F.aggregate("k", F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(_bit(F.shiftrightunsigned(k, 18))))
-    return keyed.select("doc_id", "tid", "line_no", F.xxhash64("k", "n").alias("sid"), "n", sig.alias("sig"), F.transform(F.slice("k", 1, F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1), lambda k: F.hash(k)).alias("pre"))
+def level_of_share(levels: bytes, share: float) -> int:
+    """The level up to which this share of all words in lines lies."""
+    number = np.bincount(np.frombuffer(levels, dtype=np.uint8), minlength=128)
+    uses = np.cumsum(number * 2.0 ** (np.arange(128) / 4))
+    return int(np.searchsorted(uses, uses[-1] * share))
+
+
+def signed(words: DataFrame, levels: bytes) -> DataFrame:
+    """``sid, n, first, pre, r0, r1`` of every line: its set's hash, size and place, its prefix, and a signature.
+
+    ``pre`` holds a number for each of the rarest words, 0 where no other line has the word.  ``r0`` and ``r1`` are
+    signatures of 64 bits of the words that are rare anywhere and of those less rare (a quarter of all uses, and up to
+    two thirds); frequent words, which unlike lines share, are left out.
+    """
+    keys = F.sort_array(F.transform("h", lambda h: F.shiftleft(_level(levels, h), 54).bitwiseOR(h.bitwiseAND(F.lit((1 << 54) - 1)))))
+    keyed = words.select("sid", "n", F.struct("doc_id", "tid", "line_no").alias("first"), F.explode(F.array(keys)).alias("k"))
+    limits = [(level_of_share(levels, share) + 1) << 54 for share in RARE]
+    bits = lambda low, high: F.aggregate(F.filter("k", lambda k: (k >= low) & (k < high)), F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(_bit(k)))
+    pre = F.slice("k", 1, F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1)
+    number = F.transform(pre, lambda k: F.when(F.shiftrightunsigned(k, 54) <= ALONE, 0).otherwise(F.hash(k).bitwiseOR(F.lit(1))))
+    return keyed.select("sid", "n", "first", number.alias("pre"), bits(0, limits[0]).alias("r0"), bits(*limits).alias("r1"))
 
 
 def _filters(x: str, y: str) -> Column:
-    """Length, positional and signature filter for a shorter side x and a longer side y."""
+    """Length, positional and signature filter for a shorter side x and a longer side y.
+
+    Sets of Jaccard 0.8 differ in ``(n + m) / 9`` words at most, and in no more bits of a signature.
+    """
     n, m, i, j = F.abs(f"{x}.n"), F.abs(f"{y}.n"), F.col(f"{x}.i"), F.col(f"{y}.i")
     need = F.floor((4 * (n + m) + 8) / 9)
-    return (5 * n >= 4 * m) & (F.least(i, j) + 1 + F.least(n - i, m - j) - 1 >= need) & (n - F.bit_count(F.col(f"{x}.sig").bitwiseAND(F.bitwise_not(F.col(f"{y}.sig")))) >= need)
+    differ = F.bit_count(F.col(f"{x}.r0").bitwiseXOR(F.col(f"{y}.r0"))) + F.bit_count(F.col(f"{x}.r1").bitwiseXOR(F.col(f"{y}.r1")))
+    return (5 * n >= 4 * m) & (F.least(i, j) + 1 + F.least(n - i, m - j) - 1 >= need) & (differ <= n + m - 2 * need)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Set ids whose line matches an earlier one, of candidate ``pairs(a, b)``: Jaccard on the words of the text.
+def verified(pairs: DataFrame, sets: DataFrame, words: DataFrame) -> DataFrame:
+    """Set ids whose line matches an earlier one, of candidate ``pairs(a, b)``: Jaccard on the whole sets.
 
-    ``pairs`` is a written table and is deleted when it has been read.
-
-    Only candidate lines are read again; a wider signature thins the pairs before any word travels, and words travel
-    as 64-bit hashes.
+    ``pairs`` is a written table and is deleted when it has been read.  Only candidate sets are read again; a wider
+    signature thins the pairs before any set travels.
     """
-    ids = materialize(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("sid")).join(sets.select("sid", "first"), "sid").select("sid", F.col("first.doc_id").alias("at_doc"), F.col("first.tid").alias("at_tid"), F.col("first.line_no").alias("at_line")), "line-ids")
-    slot = F.xxhash64("doc_id", "tid", "line_no").bitwiseAND(F.lit(BITS * 64 - 1))
-    marks = ids.select(F.xxhash64("at_doc", "at_tid", "at_line").bitwiseAND(F.lit(BITS * 64 - 1)).alias("s")).distinct().groupBy(F.shiftright("s", 6).alias("k")).agg(F.bit_or(_bit(F.col("s"))).alias("v"))
+    ids = materialize(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("sid")).join(sets.select("sid", "first"), "sid"), "line-ids")
+    slot = F.col("sid").bitwiseAND(F.lit(BITS * 64 - 1))
+    marks = ids.select(slot.alias("s")).distinct().groupBy(F.shiftright("s", 6).alias("k")).agg(F.bit_or(_bit(F.col("s"))).alias("v"))
     bits = _dense(marks, BITS, "k", "v")
-    lines = exploded(docs, id_col, text_col).where(F.call_function("shiftrightunsigned", F.get(bits, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
-    same = F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("tid") == F.col("at_tid")) & (F.col("line_no") == F.col("at_line"))
-    hashed = lines.join(ids, same).select("sid", F.struct("at_doc", "at_tid", "at_line").alias("first"), F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w)).alias("h"))
+    near = words.where(F.call_function("shiftrightunsigned", F.get(bits, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
+    at = (F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("tid") == F.col("first.tid")) & (F.col("line_no") == F.col("first.line_no"))
+    found = near.join(ids, "sid").where(at).dropDuplicates(["sid"])
     bits256 = [F.aggregate("h", F.lit(0).cast("long"), _quarter(k)).alias(f"s{k}") for k in range(4)]
-    words = materialize(hashed.dropDuplicates(["sid"]).select("*", F.size("h").alias("n"), *bits256), "line-words")
-    side = lambda p, *c: words.select(*[F.col(x).alias(f"{p}_{x}") for x in ("sid", *c)])
+    whole = materialize(found.select("sid", "first", "h", "n", *bits256), "line-words")
+    side = lambda p, *c: whole.select(*[F.col(x).alias(f"{p}_{x}") for x in ("sid", *c)])
     narrow = pairs.join(side("x", "n", "s0", "s1", "s2", "s3"), F.col("a") == F.col("x_sid")).join(side("y", "n", "s0", "s1", "s2", "s3"), F.col("b") == F.col("y_sid"))
     apart = sum((F.bit_count(F.col(f"x_s{k}").bitwiseAND(F.bitwise_not(F.col(f"y_s{k}")))) for k in range(1, 4)), F.bit_count(F.col("x_s0").bitwiseAND(F.bitwise_not(F.col("y_s0")))))
-    near = narrow.where(F.col("x_n") - apart >= F.floor((4 * (F.col("x_n") + F.col("y_n")) + 8) / 9)).select("a", "b")
-    both = near.join(side("x", "first", "h", "n"), F.col("a") == F.col("x_sid")).join(side("y", "first", "h", "n"), F.col("b") == F.col("y_sid"))
+    alike = narrow.where(F.col("x_n") - apart >= F.floor((4 * (F.col("x_n") + F.col("y_n")) + 8) / 9)).select("a", "b")
+    both = alike.join(side("x", "first", "h", "n"), F.col("a") == F.col("x_sid")).join(side("y", "first", "h", "n"), F.col("b") == F.col("y_sid"))
     shared = F.size(F.array_intersect("x_h", "y_h"))
     match = 5 * shared >= 4 * (F.col("x_n") + F.col("y_n") - shared)
     out = materialize(both.where(match).select(F.when(F.col("x_first") > F.col("y_first"), F.col("a")).otherwise(F.col("b")).alias("sid")).distinct(), "line-later")
-    remove(ids, words, pairs)
+    remove(ids, whole, pairs)
     return out
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``(lines, later)``: all lines with words, and ``doc_id, tid, line_no`` of those that match an earlier line.
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, tid, line_no`` of the lines that match an earlier line, a written table.
 
     Earlier is the smaller (doc_id, hash of the text, line number); a null id comes first.
     """
     text = docs.select(F.col(id_col), F.col(text_col))
-    lines = materialize(signed(exploded(text, id_col, text_col), rarity(text, text_col)), "lines")
-    order = F.struct("doc_id", "tid", "line_no")
-    sets = materialize(lines.groupBy("sid").agg(F.min(order).alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("pre").alias("pre")), "line-sets")
+    words = materialize(tokens(text, id_col, text_col), "line-tokens", compression="zstd", **{"parquet.dictionary.page.size": str(16 << 20)})
+    sets = signed(words, rarity(words)).groupBy("sid").agg(F.min("first").alias("first"), *[F.first(c).alias(c) for c in ("n", *SIGNED, "pre")])
+    sets = materialize(sets, "line-sets")
+    doc = F.coalesce("first.doc_id", F.lit(NO_ID)).alias("doc")
     able = sets.where("n >= 4")
-    index = F.col("n") - F.floor((8 * F.col("n") + 8) / 9).cast("int") + 1
-    crowded = able.select(F.explode(F.slice("pre", 1, index)).alias("t")).groupBy("t").agg(F.count("*").alias("size")).where(F.col("size") > HOT)
-    crowded = materialize(crowded.select(F.col("t").alias("c")), "line-crowded")  # few, and small enough to be sent to the sets
-    y = able.select("sid", "n", "sig", "first", F.posexplode("pre").alias("i", "t")).join(crowded, F.col("t") == F.col("c"))
-    x = y.where(F.col("i") < index).groupBy("t").agg(F.min(F.struct("first", "sid", "n", "sig", "i")).alias("x"))
-    hot = materialize(x.select("t", "x.*"), "line-hot")
-    later = (F.col("x.t") == F.col("y.t")) & (F.col("x.first") < F.col("y.first"))
+
+    shared = F.filter(F.transform("pre", lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda x: x["t"] != 0)
+    # The rarest words tell few copies from other lines; words of very many copies are the least rare of a prefix.
+    ends = F.array_distinct(F.concat(F.slice("shared", 1, LEAD), F.slice("shared", -F.least(F.size("shared"), F.lit(LEAD)), LEAD)))
+    lead = able.select("sid", "n", *SIGNED, doc, shared.alias("shared")).where(F.size("shared") > 0).select("sid", "n", *SIGNED, "doc", F.inline(ends))
+    one = F.struct("doc", "sid", "n", *SIGNED, "i")
+    heads = lead.groupBy("t").agg(F.count("*").alias("c"), F.array_compact(F.array(*[F.min(F.when(F.pmod("sid", F.lit(HEADS)) == k, one)) for k in range(HEADS)])).alias("heads")).where("c > 1")
+    tried = lead.alias("y").join(heads.select(F.col("t").alias("u"), "heads"), F.col("t") == F.col("u")).select(F.struct("y.*").alias("y"), F.explode("heads").alias("x"))
     wider = F.when(F.col("x.n") <= F.col("y.n"), _filters("x", "y")).otherwise(_filters("y", "x"))
-    early = hot.alias("x").join(y.alias("y"), later & wider).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
-    settled = verified(materialize(early, "line-pairs"), sets, text, id_col, text_col)
-    remove(hot, crowded)
+    early = tried.where((F.col("x.sid") != F.col("y.sid")) & (F.col("x.doc") <= F.col("y.doc")) & wider)
+    early = materialize(early.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct(), "line-pairs")
+    settled = verified(early, sets, words)
 
-    flagged = able.join(settled.withColumn("done", F.lit(True)), "sid", "left").select("sid", F.when(F.col("done"), -F.col("n")).otherwise(F.col("n")).alias("n"), "sig", "pre")
+    flagged = able.join(settled.withColumn("done", F.lit(True)), "sid", "left").select("sid", F.when(F.col("done"), -F.col("n")).otherwise(F.col("n")).alias("n"), *SIGNED, doc, "pre")
     # Both sides read one exchange: that the shorter side publishes fewer words is asked of the pair, not of the side.
-    entries = flagged.select("sid", "n", "sig", F.posexplode("pre").alias("i", "t"))
+    entries = flagged.select("sid", "n", *SIGNED, "doc", F.posexplode("pre").alias("i", "t")).where("t <> 0")
     published = F.col("x.i") < F.abs("x.n") - F.floor((8 * F.abs("x.n") + 8) / 9).cast("int") + F.when(F.col("y.i") >= 0, 1).otherwise(0)
     once = (F.abs("x.n") < F.abs("y.n")) | (F.abs("x.n") == F.abs("y.n")) & (F.col("x.sid") < F.col("y.sid"))
-    pairs = entries.alias("x").join(entries.alias("y"), (F.col("x.t") == F.col("y.t")) & once & published & ~((F.col("x.n") < 0) & (F.col("y.n") < 0)) & _filters("x", "y"))
-    pairs = materialize(pairs.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct(), "line-pairs")
-    gone = verified(pairs, sets, text, id_col, text_col).union(settled).distinct()
-    fate = materialize(sets.join(gone.withColumn("gone", F.lit(True)), "sid", "left").select("sid", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "line-fates")
-    remove(sets)
-    out = lines.select("doc_id", "tid", "line_no", "sid").join(fate, "sid")
-    return lines, out.where(F.col("gone") | (order > F.col("first"))).select("doc_id", "tid", "line_no")
+    # Which of two lines of one document is the later one is not known here: either may be.
+    open_ = ((F.col("x.n") > 0) & (F.col("x.doc") >= F.col("y.doc"))) | ((F.col("y.n") > 0) & (F.col("y.doc") >= F.col("x.doc")))
+    parts = []
+    for k in range(PASSES):  # by the word, so every pass finds all pairs that share one of its words
+        some = entries.where(F.shiftright("t", 1).bitwiseAND(F.lit(PASSES - 1)) == k)
+        met = some.alias("x").join(some.alias("y"), (F.col("x.t") == F.col("y.t")) & once & published & open_ & _filters("x", "y"))
+        parts.append(materialize(met.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct(), "line-pairs"))
+    pairs = materialize(reduce(DataFrame.union, parts).distinct(), "line-pairs")
+    remove(*parts)
+    more = verified(pairs, sets, words)
+    fate = materialize(sets.join(more.union(settled).distinct().withColumn("gone", F.lit(True)), "sid", "left").select("sid", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "line-fates")
+    remove(sets, settled, more)
+    out = words.select("doc_id", "tid", "line_no", "sid").join(fate, "sid").where(F.col("gone") | (F.struct("doc_id", "tid", "line_no") > F.col("first")))
+    out = materialize(out.select("doc_id", "tid", "line_no").distinct(), "line-removed")
+    remove(words, fate)
+    return out
 
 
 def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,8 +204,7 @@ def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     differ in text are documents of their own; a null id comes before all; an empty table gives an empty result.
     Only id and text are read.
     """
-    _, later = removed_lines(docs, id_col, text_col)
-    by_doc = later.distinct().groupBy(F.col("doc_id").alias("__id"), F.col("tid").alias("__tid")).agg(F.array_sort(F.collect_list("line_no")).alias("removed"))
+    by_doc = removed_lines(docs, id_col, text_col).groupBy(F.col("doc_id").alias("__id"), F.col("tid").alias("__tid")).agg(F.array_sort(F.collect_list("line_no")).alias("removed"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("tid"), F.size(F.filter(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n"), lambda s: s.rlike(f"[^{SPACE_CLASS}]"))).alias("n_lines"))
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("tid") == F.col("__tid")), "left").select("doc_id", "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed"))
@@ -164,8 +212,7 @@ def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """``docs`` with the later matching lines taken out of the text (and its length brought up to date)."""
-    _, later = removed_lines(docs, id_col, text_col)
-    by_doc = later.distinct().groupBy(F.col("doc_id").alias("__id"), F.col("tid").alias("__tid")).agg(F.collect_list("line_no").alias("__removed"))
+    by_doc = removed_lines(docs, id_col, text_col).groupBy(F.col("doc_id").alias("__id"), F.col("tid").alias("__tid")).agg(F.collect_list("line_no").alias("__removed"))
     joined = docs.join(by_doc, docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (text_key(text_col) == F.col("__tid")), "left")
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda s, i: ~F.array_contains(F.col("__removed"), i)), "\n")
     out = joined.withColumn(text_col, F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(kept))

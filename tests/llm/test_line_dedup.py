@@ -55,8 +55,8 @@ def test_awkward_rows_and_near_copies(spark, monkeypatch):
             lines.append(" ".join(words).title() if rng.random() < 0.3 else " ".join(words))
         rows.append((1000 + d, "\n".join(lines) + "\n \n", "en", "s", 1, 1, 1, 1, 1))
     df = spark.createDataFrame(awkward() + rows, AWKWARD_SCHEMA)
-    for hot in (200, 1):
-        monkeypatch.setattr(line_dedup, "HOT", hot)
+    for lead in (2, 1):
+        monkeypatch.setattr(line_dedup, "LEAD", lead)
         assert check(df, line_dedup.summary(df)) > 100
     out = line_dedup.dedup(df)
     assert out.columns == df.columns and out.count() == df.count()
@@ -70,8 +70,8 @@ def test_query_equals_brute_force(spark, sf):
 def test_rows_without_or_with_shared_ids_are_documents_of_their_own(spark, monkeypatch):
     near = ["a b c d e f g h i", "a b c d e f g h j"]
     rows = [(None, f"{near[0]}\nclean one\nthe same line here"), (None, f"{near[1]}\nclean two\nthe same line here"), (None, "wholly different words\nclean three"), (None, "wholly different words\nclean three"), (7, "first text of seven\nkept a"), (7, "other text with seven\nclean one")]
-    for hot in (200, 1):
-        monkeypatch.setattr(line_dedup, "HOT", hot)
+    for lead in (2, 1):
+        monkeypatch.setattr(line_dedup, "LEAD", lead)
         df = spark.createDataFrame(rows, "doc_id long, text string")
         out = [r["text"] for r in line_dedup.dedup(df).collect()]
         lines = [s for t in out for s in t.split("\n")]
