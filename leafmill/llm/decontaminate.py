@@ -8,6 +8,7 @@ overlapping diagonal bands; what meets the bound is verified by banded alignment
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -178,17 +179,29 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) ->
         yield block
 
 
+#: The index in use, by the broadcast it was built from: one a worker.
+_INDEXES: dict[str, Index] = {}
+
+
+def _index(ident: str, shared, settings: Settings) -> Index:
+    if ident not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[ident] = Index(shared.value, settings)
+    return _INDEXES[ident]
+
+
 def _scan(docs: DataFrame, items: list, settings: Settings, only_found: bool) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    shared, ident = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def run(batches):
-        index = Index(shared.value, settings)
+        index = _index(ident, shared, settings)
         for batch in slices(batches, weigh="text"):
-            rows = [(i, sorted(m), min(m.values(), default=None)) for i, m in zip(batch.column(0).to_pylist(), map(index.matches, batch.column(1).to_pylist())) if m or not only_found]
-            cols = list(zip(*rows)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.int32())], ["doc_id", "item_ids", "edits"])
+            keys = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())
+            rows = [(i, t, sorted(m), min(m.values(), default=None)) for (i, t), m in zip(keys, map(index.matches, batch.column(1).to_pylist())) if m or not only_found]
+            cols = list(zip(*rows)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.int32())], ["doc_id", "tid", "item_ids", "edits"])
 
-    return docs.mapInArrow(run, "doc_id long, item_ids array<long>, edits int")
+    return docs.mapInArrow(run, "doc_id long, tid long, item_ids array<long>, edits int")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -196,10 +209,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, settings: Settings = Se
 
     ``item_ids`` lists the items found in ascending order, ``edits`` is the least distance of a probe (null: none).
     Null and empty texts are clean; a null doc_id is judged like any other; items without text match nothing, and
-    items under ``q`` bytes match exactly as whole words; an empty table gives an empty result.  With more than one
-    block of items, rows that share a doc_id share a verdict.  Only id and text are read.
+    items under ``q`` bytes match exactly as whole words; an empty table gives an empty result.  Each row is judged by
+    its own text, whatever its id and however many blocks of items there are.  Only id and text are read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("tid", F.xxhash64("text"))  # with the id it names a row among the hits of several blocks
     found: list[DataFrame] = []
     blocks = item_blocks(benchmark, item_col, item_text, block_bytes)
     block, after = next(blocks, []), next(blocks, None)
@@ -212,16 +226,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, settings: Settings = Se
         hits = found[0]
         for more in found[1:]:
             hits = hits.union(more)
-        hits = hits.groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"), F.min("edits").alias("edits"))
-        out = rows.select("doc_id").join(hits, F.col("doc_id").eqNullSafe(F.col("__id")), "left").select("doc_id", F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), "edits")
+        hits = hits.groupBy(F.col("doc_id").alias("__id"), F.col("tid").alias("__tid")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"), F.min("edits").alias("edits"))
+        out = rows.select("doc_id", "tid").join(hits, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("tid") == F.col("__tid")), "left").select("doc_id", F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), "edits")
     return out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "edits")
 
 
 def _clean(docs: DataFrame, items: list, settings: Settings, text_col: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    shared, ident = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def run(batches):
-        index = Index(shared.value, settings)
+        index = _index(ident, shared, settings)
         for batch in slices(batches, weigh=text_col):
             yield batch.filter(pa.array([not index.matches(x) for x in batch.column(text_col).to_pylist()], pa.bool_()))
 
