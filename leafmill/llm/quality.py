@@ -17,10 +17,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import small_side
 from .common import SPACE_CLASS, materialize
 
-#: Share of good documents that may be rejected, probability that this fails, cutoffs on the grid, strata of their own.
-ALPHA, DELTA, GRID, STRATA = 0.02, 0.05, 50, 64
+#: Share of good documents that may be rejected, probability that this fails, cutoffs on the grid.
+ALPHA, DELTA, GRID = 0.02, 0.05, 50
 #: Rules: share of symbols a word, of words in repeated windows, of repeated lines, of capitals among characters.
 RULES = ("symbols", "repeats", "lines", "capitals")
 #: Words in a window.
@@ -101,8 +102,9 @@ def cutoffs(scored: DataFrame, labels: DataFrame, id_col: str, alpha: float, del
     known = scored.join(truth, F.col(id_col) == F.col("__of")).select("stratum", (F.col("__quality") == 1).alias("good"), F.posexplode("levels").alias("rule", "level"))
     seen = known.groupBy("stratum", "rule", "level").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"))
     steps = seen.groupBy("stratum", "rule").agg(F.sum("g").alias("n"), F.collect_list(F.struct("level", "g", "b")).alias("at"))
-    size = Window.partitionBy()
-    steps = steps.withColumn("strata", F.size(F.collect_set("stratum").over(size)))  # at most STRATA + 1
+    steps = materialize(steps, "quality-steps")  # a row for each rule and labelled stratum
+    strata = steps.agg(F.count_distinct("stratum")).first()[0]
+    steps = steps.withColumn("strata", F.lit(max(1, strata)))
     upto = lambda c: F.aggregate(F.filter("at", lambda x: x["level"] <= F.col("step")), F.lit(0).cast("long"), lambda a, x: a + x[c])
     walk = steps.select("*", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))).alias("step")).select("stratum", "rule", "step", "n", "strata", upto("g").alias("false"), upto("b").alias("true"))
     walk = walk.withColumn("passed", binomial_tail(F.col("false"), F.col("n"), alpha / len(RULES)) <= F.lit(delta) / (len(RULES) * F.col("strata")))
@@ -118,9 +120,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = materialize(measured(docs.select(*wanted), text_col).drop(text_col), "quality")
     lang = F.coalesce(F.col(stratum_col).cast("string"), F.lit("")) if stratum_col in docs.columns else F.lit("")
     ident = F.col(id_col).cast("long")
-    # The largest strata have thresholds of their own, all others share one set: a bounded list of names.
-    names = [r[0] for r in rows.join(labels.select(F.col("doc_id").alias("__of")).distinct(), ident == F.col("__of")).groupBy(lang.alias("s")).count().orderBy(F.desc("count"), "s").limit(STRATA).collect()]
-    stratum = F.when(lang.isin(names), F.concat(F.lit("="), lang)).otherwise(F.lit("*")) if names else F.lit("*")
+    stratum = F.concat(F.lit("="), lang)  # every language with labels has thresholds of its own
     chosen = cutoffs(rows.select(ident.alias(id_col), stratum.alias("stratum"), _levels().alias("levels")), labels, id_col, alpha, delta)
     by_stratum = chosen.groupBy(F.col("stratum").alias("__stratum")).agg(F.array(*[F.max(F.when(F.col("rule") == k, F.col("step"))) for k in range(len(RULES))]).alias("__steps"))
     return rows, by_stratum, stratum
@@ -135,7 +135,7 @@ def decided(rows: DataFrame, chosen: DataFrame, stratum: Column) -> DataFrame:
     """Measured ``rows`` with ``__q_base_failed`` and ``__q_kept``."""
     n, levels = F.col("__q_n_words"), _levels()
     failed = (n < 10) | (100 * F.col("__q_n_repeat_words") > 20 * n)
-    with_steps = rows.join(F.broadcast(chosen), stratum == F.col("__stratum"), "left")  # STRATA + 1 rows at most
+    with_steps = rows.join(small_side(chosen), stratum == F.col("__stratum"), "left")  # a row a language with cutoffs
     rejected = reduce(lambda a, b: a | b, [F.coalesce(F.get(levels, F.lit(k)) <= F.get("__steps", F.lit(k)), F.lit(False)) for k in range(len(RULES))])
     return with_steps.withColumns({"__q_base_failed": failed, "__q_kept": ~failed & ~rejected}).drop("__stratum", "__steps")
 
