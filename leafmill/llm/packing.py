@@ -146,8 +146,9 @@ def pack(table: DataFrame, capacity: int = 4096) -> DataFrame:
     starts = materialize(by_task.select("task", "length", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "pack-starts")
     counts = {r["length"]: r["n"] for r in starts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     runs = spark.sparkContext.broadcast(plan(counts, capacity))
+    # The starts grow with the tasks: they are met by a merge join, never sent to every task.
     other = [c for c in table.columns if c not in ("task", "nth")]
-    ranked = table.join(starts.select("task", "length", "before"), ["task", "length"]).select(*other, (F.col("nth") + F.col("before")).alias("rank"))
+    ranked = table.join(starts.select("task", "length", "before").hint("merge"), ["task", "length"]).select(*other, (F.col("nth") + F.col("before")).alias("rank"))
 
     def run(batches):
         for batch in batches:
