@@ -74,13 +74,13 @@ class Pieces:
                 out[m] = piece.reshape(h.shape)
         return out
 
-    def forward(self, words: np.ndarray, edges: dict[int, np.ndarray] | None = None) -> np.ndarray:
+    def forward(self, words: np.ndarray, edges: dict[int, np.ndarray] | None = None, kind: type = np.float64) -> np.ndarray:
         """Log of the sum over segmentations of each word's first 0..n bytes, (n + 1) columns."""
         edges = self.edges(words) if edges is None else edges
-        logp = np.append(self.logp, -np.inf)
+        logp = np.append(self.logp, -np.inf).astype(kind)
         cost = {m: logp[e] for m, e in edges.items()}
         n = words.shape[1]
-        alpha = np.full((words.shape[0], n + 1), -np.inf)
+        alpha = np.full((words.shape[0], n + 1), -np.inf, dtype=kind)
         alpha[:, 0] = 0
         for i in range(1, n + 1):
             terms = [alpha[:, i - m] + c[:, i - m] for m, c in cost.items() if m <= i]
@@ -88,10 +88,10 @@ class Pieces:
                 alpha[:, i] = _logsum(terms)
         return alpha
 
-    def backward(self, n: int, edges: dict[int, np.ndarray], rows: int) -> np.ndarray:
-        logp = np.append(self.logp, -np.inf)
+    def backward(self, n: int, edges: dict[int, np.ndarray], rows: int, kind: type = np.float64) -> np.ndarray:
+        logp = np.append(self.logp, -np.inf).astype(kind)
         cost = {m: logp[e] for m, e in edges.items()}
-        beta = np.full((rows, n + 1), -np.inf)
+        beta = np.full((rows, n + 1), -np.inf, dtype=kind)
         beta[:, n] = 0
         for i in range(n - 1, -1, -1):
             terms = [beta[:, i + m] + c[:, i] for m, c in cost.items() if m <= n - i]
@@ -100,16 +100,20 @@ class Pieces:
         return beta
 
     def expect(self, words: list[bytes], counts: list[int]) -> np.ndarray:
-        """Expected uses of each piece over all segmentations of the words, times their counts."""
+        """Expected uses of each piece over all segmentations of the words, times their counts.
+
+        The recursions run in single precision (a use is right to some 1e-5 of itself); uses are summed in double.
+        """
+        logp = self.logp.astype(np.float32)
         total = np.zeros(len(self.texts))
         for own, block in blocks(words):
             edges, n = self.edges(block), block.shape[1]
-            alpha, beta = self.forward(block, edges), self.backward(n, edges, len(own))
+            alpha, beta = self.forward(block, edges, np.float32), self.backward(n, edges, len(own), np.float32)
             weight = np.asarray(counts, dtype=float)[own]
             for m, e in edges.items():
                 r, c = np.nonzero(e >= 0)
                 p = e[r, c]
-                use = np.exp(alpha[r, c] + self.logp[p] + beta[r, c + m] - alpha[r, n]) * weight[r]
+                use = np.exp(alpha[r, c] + logp[p] + beta[r, c + m] - alpha[r, n]) * weight[r]
                 total += np.bincount(p, use, len(total))
         return total
 
@@ -124,7 +128,7 @@ def _logsum(terms: list[np.ndarray]) -> np.ndarray:
     top = terms[0] if len(terms) == 1 else np.maximum.reduce(terms)
     if len(terms) == 1:
         return top
-    safe = np.where(np.isneginf(top), 0.0, top)
+    safe = np.where(np.isneginf(top), top.dtype.type(0), top)
     with np.errstate(divide="ignore"):
         return safe + np.log(sum(np.exp(t - safe) for t in terms))
 
@@ -191,7 +195,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def fit(counts: DataFrame, start: Pieces, rounds: int = 3) -> Pieces:
+def fit(counts: DataFrame, start: Pieces, rounds: int = 4) -> Pieces:
     """Expectation-maximisation over all distinct words; each task sums its own words, the driver gets one sum a piece."""
     spark, pieces = counts.sparkSession, start
     prior = np.exp(start.logp) * PRIOR
@@ -219,7 +223,7 @@ def fit(counts: DataFrame, start: Pieces, rounds: int = 3) -> Pieces:
 _MODELS: dict[str, tuple] = {}
 
 
-def score(docs: DataFrame, model: str, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
+def score(docs: DataFrame, model: str, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
     Null and empty texts are the end alone; a null doc_id hashes as the empty string; repeated rows are each scored
