@@ -168,3 +168,30 @@ def test_passages_over_a_page_break(spark):
     near = index.index_pages(spark.createDataFrame([(1, "b", 1, "one two three four"), (2, "b", 3, "five six seven eight")], "page_id long, book string, number long, text string"))
     far = {r["query"]: r for r in verify.verify(near, spark.createDataFrame([(7, "three four five sax".split())], "query int, words array<string>"), "page_id").collect()}
     assert (far[7]["status"], far[7]["page_id"], far[7]["start"], far[7]["end"]) == ("differs", 1, 2, 6)
+
+
+def test_attribution_doubt_and_running_heads(spark):
+    def row(page, book, number, kind, text, doubtful=(), head=(None, 0)):
+        words = text.split()
+        return (page, book, number, kind, text, words, ["doubtful" if w in doubtful else "reviewed" for w in words], head)
+
+    rows = [
+        row(1, "b", 1, "body", "alpha beta gamma delta epsilon zeta", ("gamma",)),
+        row(2, "b", 1, "notes", "a note that stands below the text"),
+        row(3, "c", 1, "body", "wholly other words of another book", head=("chapter", 1)),
+        row(4, "c", 2, "body", "chapter and they go on over the page", head=("chapter", 1)),
+    ]
+    ix = spark.createDataFrame(rows, "page_id long, book string, number long, kind string, norm string, norms array<string>, states array<string>, head struct<key:string,n:int>")
+    asked = [
+        (1, "beta gamma delta epsilon".split(), "b", "author"),
+        (2, "beta gemma delta epsilon".split(), "b", "author"),
+        (3, "note that stands below".split(), None, "author"),
+        (4, "beta gamma delta epsilon".split(), "c", "unknown"),
+        (5, "alpha beta gamma delta".split(), None, "editor"),
+        (6, "of another book and they".split(), "c", "author"),
+    ]
+    queries = spark.createDataFrame(asked, "query int, words array<string>, in_book string, attributed_to string")
+    got = {r["query"]: r for r in verify.verify(ix, queries, "page_id").collect()}
+    assert [got[k]["status"] for k in range(1, 7)] == ["exact", "needs_image_check", "exact", "exact", "exact", "exact"]
+    assert [got[k]["attribution"] for k in range(1, 7)] == ["ok", "ok", "note_not_author", "other_book", "body_not_editor", "ok"]
+    assert got[2]["changes"][0]["source_state"] == "doubtful" and (got[6]["page_id"], got[6]["end_page"]) == (3, 4)
