@@ -23,6 +23,23 @@ _BYTE_LETTERS = {b: chr(0x100 + k) for k, b in enumerate(sorted({*range(256)} -
 CACHE_WORDS, CACHE_CHARS = 1_200_000, 64
 
 
+class _Cache(dict):
+    """Ids by chunk; a chunk not met before is encoded when it is first looked up.  Long chunks are not kept."""
+
+    def __init__(self, word, ends):
+        self.word, self.ends = word, ends
+
+    def __missing__(self, x) -> bytes:
+        # A full stop or comma after an ASCII letter or digit is a token of its own: the word before it may be known.
+        if x[-1] in self.ends and x[-2:-1].isalnum() and x.isascii():
+            found = self[x[:-1]] + self[x[-1:]]
+        else:
+            found = self.word(x)
+        if len(x) <= CACHE_CHARS:
+            self[x] = found
+        return found
+
+
 class WordEncoder:
     """``ids(texts)`` equals ``encode_batch(texts, add_special_tokens=False)``, as little-endian uint32 bytes."""
 
@@ -30,9 +47,9 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.spaced, self.cache = Tokenizer.from_file(path), spaced, {}
+        self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
         self.model = self.tokenizer.model
-        self.ends = ".," if spaced else b".,"
+        self.cache = _Cache(self.word, ".," if spaced else b".,")
 
     def chunks(self, text: str) -> list:
         if self.spaced:
@@ -50,25 +67,10 @@ class WordEncoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        parts, cache = [self.chunks(t) if t else [] for t in texts], self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        new = {x for p in parts for x in p if x not in cache}
-        for x in new:
-            # A full stop or comma after an ASCII letter or digit is a token of its own: the word before it may be known.
-            if x[-1] in self.ends and x[-2:-1].isalnum() and x.isascii():
-                for y in (x[:-1], x[-1:]):
-                    if y not in cache:
-                        cache[y] = self.word(y)
-                cache[x] = cache[x[:-1]] + cache[x[-1:]]
-            else:
-                cache[x] = self.word(x)
-        get = cache.__getitem__
-        out = [b"".join(map(get, p)) for p in parts]
-        for x in [x for x in new if len(x) > CACHE_CHARS]:
-            cache.pop(x, None)
-            cache.pop(x[:-1], None)
-        return out
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        get = self.cache.__getitem__
+        return [b"".join(map(get, self.chunks(t))) if t else b"" for t in texts]
 
 
 _ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
