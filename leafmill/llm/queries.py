@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_model, line_dedup, packing, quality, sharding, simhash, token_counts, token_orc, warc
+from . import bpe_trie, decontaminate, language_model, line_dedup, packing, quality, sharding, simhash, token_counts, token_orc, warc
 
 
 def vocabulary(name: str) -> str:
@@ -58,8 +58,13 @@ def op10_simhash(spark, sf_dir):
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op11_trie_bpe(spark, sf_dir):
+    path = vocabulary("word_bpe_49k.json")
+    return bpe_trie.digest(bpe_trie.decode(bpe_trie.encode(table(spark, sf_dir, "documents"), path), path))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_two_pass_shards, op3_qgram_decontamination, op4_warc, op5_token_orc, op6_word_piece_counts, op7_lattice_lm, op8_best_two_fit, op9_line_dedup, op10_simhash)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_two_pass_shards, op3_qgram_decontamination, op4_warc, op5_token_orc, op6_word_piece_counts, op7_lattice_lm, op8_best_two_fit, op9_line_dedup, op10_simhash, op11_trie_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
