@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_trie, decontaminate, language_model, line_dedup, packing, quality, sharding, simhash, token_counts, token_orc, warc, word_runs
+from . import bpe_trie, decontaminate, language_model, line_dedup, packing, quality, sharding, simhash, spelling, token_counts, token_orc, warc, word_runs
 
 
 def vocabulary(name: str) -> str:
@@ -67,8 +67,12 @@ def op12_word_runs(spark, sf_dir):
     return word_runs.digest(word_runs.find_runs(word_runs.with_known_runs(table(spark, sf_dir, "documents"))))
 
 
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_two_pass_shards, op3_qgram_decontamination, op4_warc, op5_token_orc, op6_word_piece_counts, op7_lattice_lm, op8_best_two_fit, op9_line_dedup, op10_simhash, op11_trie_bpe, op12_word_runs)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_two_pass_shards, op3_qgram_decontamination, op4_warc, op5_token_orc, op6_word_piece_counts, op7_lattice_lm, op8_best_two_fit, op9_line_dedup, op10_simhash, op11_trie_bpe, op12_word_runs, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
