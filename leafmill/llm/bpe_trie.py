@@ -23,8 +23,9 @@ from .common import slices
 
 #: A symbol that ends a word is its byte letter moved up by this much, so that it is a letter of its own in the trie.
 END = 0x1000
-#: Words of more symbols are a path of their own; words put into a trie before it is walked; chunks kept in the cache.
-LONG, TRIE_WORDS, CACHE_WORDS = 64, 50_000, 1_000_000
+#: Words of more symbols are a path of their own; words put into a trie before it is walked; chunks kept in the cache
+#: (and half as many words).
+LONG, TRIE_WORDS, CACHE_WORDS = 64, 50_000, 800_000
 #: Pieces of a lower-case ASCII chunk without white space, as the vocabulary's pre-tokenizer cuts it.  Fixed values.
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
@@ -133,7 +134,7 @@ class Merges:
     def encode(self, words: Iterable[str]) -> dict[str, bytes]:
         """Ids by distinct word; a word's last symbol is moved up by ``END``, so a leaf is a word and no other node is."""
         out, trie = {}, {}
-        for word in words:
+        for word in sorted(words):  # neighbours in the trie are then neighbours in memory
             if len(word) <= LONG:
                 node = trie
                 for c in word:
@@ -175,7 +176,9 @@ class TrieEncoder:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")")
         names = self.merges.name | {i: t for t, i in special.items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
+        #: Ids of chunks and of words met before.
         self.known: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def pieces(self, chunk: bytes) -> list[str | bytes]:
         """Words of a chunk without ASCII white space as symbols, and the ids of special tokens as they are."""
@@ -196,26 +199,35 @@ class TrieEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text.  Chunks not met before are encoded together, as many as ``TRIE_WORDS`` of their words at a time."""
         chunks = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-        own: dict[bytes, bytes] = {}
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        if len(self.words) > CACHE_WORDS // 2:
+            self.words.clear()
+        known, own, settled = self.known, {}, self.words
         pending: dict[bytes, list[str | bytes]] = {}
         words: set[str] = set()
 
         def settle() -> None:
             ids = self.merges.encode(words)
+            settled.update((w, i) for w, i in ids.items() if len(w) <= LONG)
+            find = lambda p: p if isinstance(p, bytes) else settled[p] if p in settled else ids[p]
             for chunk, parts in pending.items():
-                (self.known if len(chunk) <= LONG else own)[chunk] = b"".join([ids[p] if isinstance(p, str) else p for p in parts])
+                (known if len(chunk) <= LONG else own)[chunk] = find(parts[0]) if len(parts) == 1 else b"".join(map(find, parts))
             pending.clear()
             words.clear()
 
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        for chunk in {c for text in chunks for c in text}.difference(self.known):
+        fresh = {c for text in chunks for c in text}.difference(known)
+        # A full stop or comma after an ASCII letter or digit is a word of its own: the chunk is the one without it and that.
+        marked = {c for c in fresh if c[-1:] in b".," and c[-2:-1].isalnum()}
+        fresh = (fresh - marked).union([c[:-1] for c in marked], [c[-1:] for c in marked]).difference(known)
+        for chunk in fresh:
             pending[chunk] = parts = self.pieces(chunk)
-            words.update(p for p in parts if isinstance(p, str))
+            words.update([p for p in parts if isinstance(p, str) and p not in settled])
             if len(words) >= TRIE_WORDS:
                 settle()
         settle()
-        known = self.known
+        for chunk in marked:
+            (known if len(chunk) <= LONG else own)[chunk] = (own if len(chunk) > LONG + 1 else known)[chunk[:-1]] + known[chunk[-1:]]
         return [b"".join([known[c] if c in known else own[c] for c in text]) for text in chunks]
 
     def decode(self, ids: bytes) -> str:
