@@ -29,6 +29,15 @@ def change_state(total: Column, doubtful: Column, reviewed: Column) -> Column:
     return F.when(total > 0, F.when(doubtful == total, "doubtful").when(reviewed > 0, "reviewed").otherwise("unreviewed"))
 
 
+def match_in_order(left: DataFrame, right: DataFrame, keys: list[str], left_order: list[str], right_order: list[str]) -> DataFrame:
+    """One-to-one: the nth of a key on the left meets the nth on the right; every left row, with nulls where there is none.
+
+    This is what taking the first unused right row gives, left rows in order: only rows of one key compete.
+    """
+    nth = lambda df, order: df.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return nth(left, left_order).join(nth(right, right_order), [*keys, "__nth"], "left").drop("__nth")
+
+
 def match_by_rank(left: DataFrame, right: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One-to-one: the nth of a key on the left meets the nth on the right; ``left_id``, ``right_id`` (null: none)."""
     ranked = lambda df, name: df.select(*keys, F.col(order).alias(name), F.row_number().over(Window.partitionBy(*keys).orderBy(order)).alias("rank"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import footnotes as N
 from ..operators import readings as G
 from ..storage import materialize, spread
 from .registry import query, read
@@ -84,3 +85,78 @@ def merged_readings(spark, sf):
     runs = materialize(_runs(r), "runs")
     entering = runs.where("enters").select("page").distinct()
     return G.merged(r.join(entering, "page", "left_semi"), runs, "page").select("page", F.size("tokens").alias("n"), F.array_join("tokens", " ").alias("text"))
+
+
+def _noted(spark, sf):
+    """Blocks ``book, number, page, block, text`` of a hundred words with calls, and note lines ``book, number, page, line, text``.
+
+    A page has up to three notes; calls and markers are printed in all the ways that the rules tell apart.
+    """
+    place = lambda *x: _hash(F.col("page").cast("string"), *x)
+    n = place("notes") % 4
+
+    def printed(w, j):
+        s = place("call", str(j)) % 12
+        return F.when(s < 6, F.concat(w, F.lit(f" ({j})"))).when(s == 6, F.concat(F.regexp_replace(w, r"[^\p{L}]+$", ""), F.lit(str(j)))).when(s == 7, F.concat(w, F.lit(f" {j} ."))).when(s == 8, F.concat(w, F.lit(" (”)"))).when(s == 9, w).when(s == 10, F.concat(w, F.lit(f" ({j}1)"))).otherwise(F.concat(w, F.lit("¹²³"[j - 1])))
+
+    def called(w, i):
+        out = w
+        for j in (3, 2, 1):
+            out = F.when((i == 15 * j + place("at", str(j)) % 10) & (n >= j), printed(w, j)).otherwise(out)
+        return out
+
+    sheets = _sheets(spark, sf)
+    tokens = sheets.withColumn("t", F.transform("tokens", called))
+    halves = tokens.select("book", "number", "page", F.posexplode(F.array(F.slice("t", 1, PAGE // 2), F.slice("t", PAGE // 2 + 1, PAGE // 2))).alias("half", "t")).where(F.size("t") > 0)
+    blocks = halves.select("book", "number", "page", (F.col("number") * 2 + F.col("half")).alias("block"), F.array_join("t", " ").alias("text"))
+
+    def lines(j):
+        own = F.array_join(F.slice("tokens", 5 * j, 4), " ")
+        t = place("note", str(j)) % 10
+        made = F.when(t < 7, F.array(F.concat(F.lit(f"({j}) "), own))).when(t == 7, F.array(F.concat(F.lit(f"{j} - "), own))).when((t == 8) & F.lit(j == 1), F.array(own)).otherwise(F.array(F.concat(F.lit(f"({j}) "), own), F.lit("and on the next line")))
+        return F.when(n >= j, made).otherwise(F.array().cast("array<string>"))
+
+    above = F.when(place("above") % 9 == 0, F.array(F.lit("= goes on here."))).when(place("above") % 9 == 1, F.array(F.lit("goes on without a sign"))).otherwise(F.array().cast("array<string>"))
+    notes = sheets.select("book", "number", "page", F.posexplode(F.concat(above, *[lines(j) for j in (1, 2, 3)])).alias("line", "text"))
+    return blocks, notes
+
+
+def _linked(spark, sf):
+    blocks, lines = _noted(spark, sf)
+    calls = materialize(N.find_calls(blocks), "calls")
+    notes = materialize(N.parse_notes(lines, calls), "notes")
+    return blocks, calls, notes, materialize(N.link(notes, calls), "links")
+
+
+@query()
+def footnote_links(spark, sf):
+    """Every note with its call and the rule that linked them; orphans have none."""
+    _, calls, notes, links = _linked(spark, sf)
+    of = links.join(notes.select("page", "note", "key"), ["page", "note"])
+    return of.join(calls.select("page", "call", "block", "marker", "style"), ["page", "call"], "left").select("page", "note", "key", "call", "block", "marker", "style", "how")
+
+
+@query()
+def footnote_warnings(spark, sf):
+    """Repaired links, links by place, orphans and open calls of every page."""
+    _, calls, _, links = _linked(spark, sf)
+    return N.warnings(links, calls)
+
+
+@query()
+def footnote_hosts(spark, sf):
+    """The block behind which each orphan note is put, and its place among them."""
+    blocks, _, _, links = _linked(spark, sf)
+    orphans = links.where("call IS NULL").join(blocks.select("book", "number", "page").distinct(), "page")
+    return N.hosts(orphans.select("book", "number", "page", "note"), blocks)
+
+
+@query()
+def stray_notes(spark, sf):
+    """Paragraphs that open like the note of a call that is still open on their page: note lines left in the body."""
+    blocks, lines = _noted(spark, sf)
+    left = _hash(F.col("page").cast("string"), "left") % 5 == 0
+    body = blocks.select("page", "block", "text").unionByName(lines.where(left).select("page", (F.col("number") * 2 + 2 + F.col("line")).cast("bigint").alias("block"), "text"))
+    calls = materialize(N.find_calls(body), "calls")
+    links = N.link(N.parse_notes(lines.where(~left), calls), calls)
+    return N.strays(body, calls, links)
