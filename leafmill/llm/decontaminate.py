@@ -197,7 +197,7 @@ def _scan(docs: DataFrame, items: list, settings: Settings, only_found: bool) ->
         index = _index(ident, shared, settings)
         for batch in slices(batches, weigh="text"):
             keys = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())
-            rows = [(i, t, sorted(m), min(m.values(), default=None)) for (i, t), m in zip(keys, map(index.matches, batch.column(1).to_pylist())) if m or not only_found]
+            rows = [(i, t, sorted(m, key=lambda k: (k is None, k)), min(m.values(), default=None)) for (i, t), m in zip(keys, map(index.matches, batch.column(1).to_pylist())) if m or not only_found]
             cols = list(zip(*rows)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.int32())], ["doc_id", "tid", "item_ids", "edits"])
 
@@ -207,7 +207,7 @@ def _scan(docs: DataFrame, items: list, settings: Settings, only_found: bool) ->
 def contamination(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``doc_id, contaminated, item_ids, edits`` for every document, over the whole benchmark.
 
-    ``item_ids`` lists the items found in ascending order, ``edits`` is the least distance of a probe (null: none).
+    ``item_ids`` lists the items found in ascending order, one without an id as null at the end, ``edits`` is the least distance of a probe (null: none).
     Null and empty texts are clean; a null doc_id is judged like any other; items without text match nothing, and
     items under ``q`` bytes match exactly as whole words; an empty table gives an empty result.  Each row is judged by
     its own text, whatever its id and however many blocks of items there are.  Only id and text are read.

@@ -90,3 +90,13 @@ def test_filter_judges_rows_not_ids(spark):
     bench = spark.createDataFrame([(1, passage), (2, passage[::-1])], "item_id long, text string")
     for block in (8 << 20, 1):
         assert sorted(str(r["text"]) for r in dc.keep_clean(docs, bench, block_bytes=block).collect()) == ["None", "a clean text without an id", "clean under a shared id"]
+
+
+def test_items_without_an_id(spark):
+    first, second = (" ".join(f"{c}{k}x{k * k % 97}" for k in range(40)) for c in ("word", "other"))
+    docs = spark.createDataFrame([(1, f"{first} and {second}"), (2, first), (3, second), (4, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, first), (1, second), (None, None)], "item_id long, text string")
+    for block in (8 << 20, 1):
+        got = {r["doc_id"]: r["item_ids"] for r in dc.contamination(docs, bench, block_bytes=block).collect()}
+        assert got == {1: [1, None], 2: [None], 3: [1], 4: []}
+        assert [r["doc_id"] for r in dc.keep_clean(docs, bench, block_bytes=block).collect()] == [4]
