@@ -33,17 +33,19 @@ def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
 def shuffle(docs: DataFrame, shards: int = 24, seed: int = 17, bucket_mb: float = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row with ``shard, bucket, slot, grown_shard`` and its columns; the order within a bucket is by slot.
 
-    Null ids share one shard; a null text has no bytes; rows equal in id and text are interchangeable.  Columns named
+    Null ids share one shard, which has as many buckets as its bytes need; a null text has no bytes; rows equal in id and
+    text are interchangeable and share a bucket.  Columns named
     like the added ones are replaced.
     """
     added = ("shard", "bucket", "slot", "grown_shard")
     rows = docs.drop(*added)
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + 8
-    total = rows.agg(F.sum(size)).first()[0] or 0
-    per_shard = max(1, round(total / shards / (bucket_mb * 2**20)))
     key = F.col(id_col)
     rows = rows.withColumn("shard", shard_of(key, shards, seed)).withColumn("__tie", F.xxhash64(key, F.col(text_col), F.lit(seed)))
-    rows = rows.withColumn("bucket", F.pmod("__tie", F.lit(per_shard)).cast("int") if per_shard > 1 else F.lit(0))
+    # One row a shard: a shard that holds more (ids that occur often) is cut into more buckets.
+    held = {r["shard"]: r["bytes"] for r in rows.groupBy("shard").agg(F.sum(size).alias("bytes")).collect()}
+    buckets = F.array(*[F.lit(max(1, round(held.get(k, 0) / (bucket_mb * 2**20)))) for k in range(shards)])
+    rows = rows.withColumn("bucket", F.pmod("__tie", F.get(buckets, F.col("shard"))).cast("int"))
     rows = rows.withColumn("grown_shard", F.when(F.xxhash64(key, F.lit(seed), F.lit(shards)) > F.xxhash64(key, F.lit(seed), F.col("shard")), F.lit(shards)).otherwise(F.col("shard")))
     counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

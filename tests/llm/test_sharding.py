@@ -45,3 +45,29 @@ def test_grown_shard_is_the_shard_of_one_more(spark):
 def test_fisher_yates_is_uniform():
     seen = Counter(tuple(sharding.fisher_yates(3, np.random.default_rng(i)).tolist()) for i in range(3000))
     assert len(seen) == 6 and min(seen.values()) > 400
+
+
+def test_a_shard_of_many_rows_has_more_buckets(spark, sf):
+    """A third of the ids null: their one shard is cut into buckets of the same size as the others' are."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")).alias("doc_id"), F.substring("text", 1, 2000).alias("text"))
+    rows = sharding.round_trip(docs, bucket_mb=0.02).groupBy("shard", "bucket").agg(F.sum("size").alias("bytes")).collect()
+    of = Counter(r["shard"] for r in rows)
+    assert max(of.values()) > 3 * sorted(of.values())[len(of) // 2]
+    assert max(r["bytes"] for r in rows) < 3 * 0.02 * 2**20
+    check(docs, sharding.round_trip(docs, bucket_mb=0.02).collect())
+
+
+def test_files_hold_slots_in_order(spark, tmp_path):
+    df = spark.createDataFrame(awkward(), AWKWARD_SCHEMA)
+    sharding.write(df, f"file://{tmp_path}/out", shards=3, bucket_mb=0.0005)
+    import glob
+
+    import pyarrow.parquet as pq
+
+    for f in glob.glob(f"{tmp_path}/out/*/*.parquet"):
+        by = defaultdict(list)
+        for r in pq.read_table(f, partitioning=None).to_pylist():
+            by[r["bucket"]].append(r["slot"])
+        assert all(s == list(range(s[0], s[0] + len(s))) for s in by.values())
