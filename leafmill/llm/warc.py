@@ -8,6 +8,7 @@ is taken up again only where no valid member begins.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ REVISIT_FROM = 1000
 #: Fixed values of the format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC = b"\x1f\x8b\x08"
-SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
+SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary, path string"
 
 
 def _filesystem(uri: str):
@@ -73,7 +74,9 @@ def with_types(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
 
 
 def write(pages: DataFrame, uri: str, **columns: str) -> DataFrame:
-    """Write all pages as archives, one a task, in the folder ``uri``; returns the written list ``(path, bytes)``.
+    """Write all pages as archives, one a task, in the folder ``uri``; returns the written list ``(path, bytes, records)``.
+
+    Null and empty payloads, repeated rows and rows without an id are records like any other; an empty table gives no file.
 
     A file's name is new at each attempt, and the list, written by Spark's committer, names the files of successful
     attempts only: what a lost or doubled task left is never read.
@@ -82,7 +85,7 @@ def write(pages: DataFrame, uri: str, **columns: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         fs, folder = _filesystem(uri)
-        out, path, size = None, f"{folder}/{uuid.uuid4().hex}.warc.gz", 0
+        out, path, size, n = None, f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0
         for batch in batches:
             for row in batch.to_pylist():
                 revisit = row["refers_to"] is not None
@@ -91,12 +94,12 @@ def write(pages: DataFrame, uri: str, **columns: str) -> DataFrame:
                     fs.create_dir(folder, recursive=True)
                     out = fs.open_output_stream(path, compression=None)
                 out.write(data)
-                size += len(data)
+                size, n = size + len(data), n + 1
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_pydict({"path": [path.rsplit("/", 1)[1]], "bytes": [size]})
+            yield pa.RecordBatch.from_pydict({"path": [path.rsplit("/", 1)[1]], "bytes": [size], "records": [n]})
 
-    return materialize(rows.mapInArrow(run, "path string, bytes long"), "warc-files")
+    return materialize(rows.mapInArrow(run, "path string, bytes long, records long"), "warc-files")
 
 
 class _Bytes:
@@ -136,16 +139,27 @@ def member(data: _Bytes, pos: int) -> tuple[dict, int] | None:
     return found and (found, at - len(unpack.unused_data))
 
 
+class DamagedArchive(ValueError):
+    """An archive that does not hold what was written."""
+
+
 def records(file, start: int, end: int) -> Iterator[tuple[int, dict]]:
     """``(position, record)`` of the members that begin in ``[start, end)``.
 
     A candidate found by scanning is taken only if what follows it is the file's end or another valid member, so
-    bytes inside a member that look like one do not count; the members after it are found without scanning.  Nothing
-    is looked for beyond the file's end, wherever the range ends.
+    bytes inside a member that look like one do not count; the members after it are found without scanning, and where
+    one of these is expected and none is, the archive is damaged.  What follows a member is judged by the magic bytes
+    and the first of the record beyond the range, too.  Nothing is looked for beyond the file's end.
     """
     data, pos, trusted = _Bytes(file), start, start == 0
-    while pos < end and data.at(pos, 1):
+    while data.at(pos, 1) and (pos < end or trusted):
         found = member(data, pos) if data.at(pos, 3) == MAGIC else None
+        if trusted and not found and data.at(pos, 3) != MAGIC[: len(data.at(pos, 3))]:
+            trusted = False  # bytes behind the last record that are no member: they are passed over
+        if trusted and not found and len(data.at(pos, 18)) == 18:
+            raise DamagedArchive(f"no record can be read at byte {pos}")
+        if pos >= end:
+            return
         if found and not trusted and data.at(found[1], 1) and not member(data, found[1]):
             found = None
         if found:
@@ -164,8 +178,23 @@ def records(file, start: int, end: int) -> Iterator[tuple[int, dict]]:
             pos += len(some) - 2
 
 
+def row_of(r: dict) -> dict:
+    """A record as a row.  A response's payload must have the length and the digest that its header names."""
+    ident = [h.removeprefix("<urn:leafmill:page:").removesuffix(">") for h in (r["warc-record-id"], r.get("warc-refers-to", ""))]
+    size, digest = int(r["x-payload-length"]), r["warc-payload-digest"].removeprefix("sha1:")
+    if r["warc-type"] == "response":
+        own = hashlib.sha1(r["payload"]).hexdigest()
+        if (len(r["payload"]), own) != (size, digest):
+            raise DamagedArchive(f"record {ident[0]!r} holds {len(r['payload'])} bytes with digest {own}, its header says {size} and {digest}")
+    return {"page_id": int(ident[0]) if ident[0] else None, "payload_bytes": size, "payload_digest": digest, "record_type": r["warc-type"], "refers_to": int(ident[1]) if ident[1] else None, "url": r.get("warc-target-uri")}
+
+
 def read(files: DataFrame, uri: str, range_mb: float = 8, keep_payload: bool = True) -> DataFrame:
-    """All records of the archives ``files(path, bytes)`` in ``uri``, by byte ranges of ``range_mb`` spread over the tasks."""
+    """All records of the archives ``files(path, bytes)`` in ``uri``, by byte ranges of ``range_mb`` spread over the tasks.
+
+    ``path`` names a record's archive.  A damaged record ends the read with :class:`DamagedArchive`; :func:`complete` tells
+    whether all records that were written have come back.  An empty list gives no records.
+    """
     step = int(range_mb * 2**20)
     ranges = files.select("path", "bytes", F.explode(F.sequence(F.lit(0), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(step))).alias("start"))
     # A row stands for 8 MB, so the number of tasks is given: by size, all rows would end in one.
@@ -179,8 +208,7 @@ def read(files: DataFrame, uri: str, range_mb: float = 8, keep_payload: bool = T
                 rows, size = [], 0
                 with fs.open_input_file(f"{folder}/{row['path']}") as file:
                     for _, r in records(file, row["start"], min(row["start"] + step, row["bytes"])):
-                        ident = [h.removeprefix("<urn:leafmill:page:").removesuffix(">") for h in (r["warc-record-id"], r.get("warc-refers-to", ""))]
-                        rows.append({"page_id": int(ident[0]) if ident[0] else None, "payload_bytes": int(r["x-payload-length"]), "payload_digest": r["warc-payload-digest"].removeprefix("sha1:"), "record_type": r["warc-type"], "refers_to": int(ident[1]) if ident[1] else None, "url": r.get("warc-target-uri"), "payload": r["payload"] if keep_payload else None})
+                        rows.append(row_of(r) | {"payload": r["payload"] if keep_payload else None, "path": row["path"]})
                         size += len(r["payload"])
                         if len(rows) >= 1000 or keep_payload and size > 16 << 20:
                             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
@@ -188,10 +216,18 @@ def read(files: DataFrame, uri: str, range_mb: float = 8, keep_payload: bool = T
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    arrow = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())])
+    arrow = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("path", pa.string())])
     return spread.mapInArrow(run, SCHEMA)
 
 
+def complete(files: DataFrame, back: DataFrame) -> None:
+    """DamagedArchive if an archive of ``files`` has given more or fewer rows of ``back`` than it has records."""
+    found = back.groupBy("path").agg(F.count("*").alias("found"))
+    wrong = files.join(found, "path", "left").where(F.coalesce("found", F.lit(0)) != F.col("records")).limit(3).collect()
+    if wrong:
+        raise DamagedArchive("records read and written: " + ", ".join(f"{r['found'] or 0} of {r['records']} in {r['path']}" for r in wrong))
+
+
 def round_trip(pages: DataFrame, range_mb: float = 8, **columns: str) -> DataFrame:
     """Write archives in the shared folder and read them back by ranges: the digest columns of every record.
 
@@ -201,7 +237,10 @@ def round_trip(pages: DataFrame, range_mb: float = 8, **columns: str) -> DataFra
     """
     spark: SparkSession = pages.sparkSession
     uri = new_path(spark, "warc")
-    return read(write(pages, uri, **columns), uri, range_mb, keep_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    files = write(pages, uri, **columns)
+    back = materialize(read(files, uri, range_mb, keep_payload=False).drop("payload", "url"), "warc-back")
+    complete(files, back)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 #: DuckDB, over table pages.

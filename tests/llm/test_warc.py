@@ -90,3 +90,37 @@ def test_files_that_read_short():
 
     data = b"".join(warc.record(i, "u", "d", 300, bytes(300), None) for i in range(9))
     assert len(list(warc.records(Short(data), 0, len(data)))) == 9
+
+
+def made(n=6, size=300):
+    return [warc.record(i, "u", hashlib.sha1(bytes([i]) * size).hexdigest(), size, bytes([i]) * size, None) for i in range(n)]
+
+
+def test_a_changed_byte_ends_the_read():
+    members = made()
+    for at in range(20, len(members[3]), 7):
+        bad = bytearray(members[3])
+        bad[at] ^= 0x55
+        data = b"".join([*members[:3], bytes(bad), *members[4:]])
+        for step in (100, 10**6):
+            with pytest.raises(warc.DamagedArchive):
+                found = [warc.row_of(r) for a in range(0, len(data), step) for _, r in warc.records(io.BytesIO(data), a, a + step)]
+                if len(found) < 6:  # what the count of records of each archive finds
+                    raise warc.DamagedArchive
+
+
+def test_a_false_digest_ends_the_read():
+    (_, good), = warc.records(io.BytesIO(made(1)[0]), 0, 10**6)
+    assert warc.row_of(good)["payload_bytes"] == 300
+    for field, value in (("warc-payload-digest", "sha1:" + "0" * 40), ("x-payload-length", "299")):
+        with pytest.raises(warc.DamagedArchive):
+            warc.row_of(good | {field: value})
+
+
+def test_records_read_are_counted(spark):
+    files = spark.createDataFrame([("a", 10, 2), ("b", 10, 1)], "path string, bytes long, records long")
+    back = spark.createDataFrame([("a",), ("a",), ("b",)], "path string")
+    warc.complete(files, back)
+    for some in (back.where("path = 'a'"), back.limit(0), back.unionAll(back)):
+        with pytest.raises(warc.DamagedArchive):
+            warc.complete(files, some)
