@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import assembly as A
 from ..operators import footnotes as N
 from ..operators import readings as G
 from ..storage import materialize, spread
@@ -160,3 +161,52 @@ def stray_notes(spark, sf):
     calls = materialize(N.find_calls(body), "calls")
     links = N.link(N.parse_notes(lines.where(~left), calls), calls)
     return N.strays(body, calls, links)
+
+
+def _book(spark, sf):
+    """``pages(book, number, page, status)`` and ``lines(page, line, kind, role, style, text, x0, x1, doubtful)``.
+
+    Status, role, style and box follow from hashes: most pages are reviewed, one in thirteen has no boxes.
+    """
+    of = lambda what, *x: _hash(F.col("page").cast("string"), what, *x)
+    blocks, notes = _noted(spark, sf)
+    pick = of("status") % 16
+    status = F.when(pick < 9, "reviewed").when(pick < 11, "assembled").when(pick < 13, "ocr_done").when(pick == 13, "error").when(pick == 14, "ocr_running").otherwise("excluded")
+    pages = _sheets(spark, sf).select("book", "number", "page", status.alias("status"))
+    words = F.split("text", " ")
+    cut = blocks.withColumn("w", words).withColumn("line", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / LINE).cast("int"))))
+    lines = cut.select("page", (F.col("block") % 2 * 20 + F.col("line")).cast("int").alias("line"), F.lit("body").alias("kind"), F.array_join(F.slice("w", F.col("line") * LINE + 1, LINE), " ").alias("text"))
+    h = lambda what: of(what, F.col("line").cast("string"))
+    role = F.when(h("role") % 40 == 0, "heading").when(h("role") % 40 == 1, "verse").when(h("role") % 40 == 2, "subheading").otherwise("body")
+    centred, indented, short = h("centre") % 23 == 0, h("indent") % 6 == 0, h("short") % 6 == 0
+    x0 = F.when(of("boxes") % 13 > 0, F.when(centred, 0.3).when(short, 0.4).otherwise(0.1))
+    x1 = F.when(of("boxes") % 13 > 0, F.when(centred, 0.7).when(indented, 0.85).otherwise(0.9))
+    body = lines.select("page", "line", "kind", role.alias("role"), F.when(h("style") % 37 == 0, "quote").alias("style"), "text", x0.alias("x0"), x1.alias("x1"), (h("doubt") % 30 == 0).cast("int").alias("doubtful"))
+    null = lambda t: F.lit(None).cast(t)
+    below = notes.select("page", (F.col("line") + 100).alias("line"), F.lit("footnote").alias("kind"), F.lit("body").alias("role"), null("string").alias("style"), "text", null("double").alias("x0"), null("double").alias("x1"), F.lit(0).alias("doubtful"))
+    return pages, body.unionByName(below)
+
+
+@query()
+def assembled_blocks(spark, sf):
+    """Paragraphs and headings of every book, over page breaks."""
+    b = A.assemble(*_book(spark, sf)).blocks
+    return b.select("book", "number", "idx", "kind", "level", "style", F.size("lines").alias("lines"), F.size("pages").alias("pages"), "words", F.sha1(F.col("text").cast("binary")).alias("text_sha1"), "suggested")
+
+
+@query()
+def assembled_seams(spark, sf):
+    """The decision at every page break of every book."""
+    return A.assemble(*_book(spark, sf)).seams.withColumn("skipped", F.array_join("skipped", ","))
+
+
+@query()
+def assembled_warnings(spark, sf):
+    """Warnings of every book in their order."""
+    return A.assemble(*_book(spark, sf)).warnings
+
+
+@query()
+def assembled_statistics(spark, sf):
+    """Counts of every book."""
+    return A.assemble(*_book(spark, sf)).statistics
