@@ -9,9 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import folding as O
+from ..functions import numbers as U
+from ..functions import repeats as Q
+from ..functions import text as T
 from ..operators import assembly as A
+from ..operators import changes as C
 from ..operators import footnotes as N
 from ..operators import readings as G
+from ..operators.sections import section_starts as starts
 from ..storage import materialize, spread
 from .registry import query, read
 
@@ -210,3 +216,108 @@ def assembled_warnings(spark, sf):
 def assembled_statistics(spark, sf):
     """Counts of every book."""
     return A.assemble(*_book(spark, sf)).statistics
+
+
+@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+') AS x FROM documents WHERE text IS NOT NULL)
+ SELECT doc_id, len(list_filter(x, lambda w: lower(w) = 'that')) AS n, md5(array_to_string(list_transform(x, lambda w: CASE WHEN lower(w) = 'that' THEN '<·>' ELSE w END), '')) AS replaced_md5 FROM t WHERE len(list_filter(x, lambda w: lower(w) = 'that')) > 0""")
+def folded_replace(spark, sf):
+    """A word replaced wherever it stands as a whole word, upper or lower case, marked or not."""
+    d = spread(read(spark, sf, "documents")).select("doc_id", "text", O.found(F.col("text"), "That", O.Options(whole=True)).alias("at"))
+    return d.where(F.size("at") > 0).select("doc_id", F.size("at").cast("long").alias("n"), F.md5(O.replaced(F.col("text"), F.col("at"), "<·>").cast("binary")).alias("replaced_md5"))
+
+
+@query("""WITH n AS (SELECT doc_id, trim(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')) AS norm FROM documents), r AS (SELECT doc_id, norm, CAST((doc_id * 37) % length(norm) AS INT) AS a FROM n WHERE length(norm) > 0),
+ b AS (SELECT doc_id, norm, a, least(a + 1 + doc_id % 40, length(norm)) AS b FROM r), s AS (SELECT doc_id, a, b, list_transform(range(1, len(string_split(norm, ' ')) + 1), lambda i: CAST(length(array_to_string(string_split(norm, ' ')[1 : i - 1], ' ')) + CASE WHEN i > 1 THEN 1 ELSE 0 END AS INT)) AS at FROM b WHERE length(norm) < 4000)
+ SELECT doc_id, len(list_filter(at, lambda x: x <= a)) - 1 AS first, greatest(len(list_filter(at, lambda x: x <= a)) - 1, len(list_filter(at, lambda x: x < b)) - 1) + 1 AS last FROM s""")
+def char_to_word_range(spark, sf):
+    """Words that a range of characters touches, in texts under 4,000 characters (the SQL is quadratic in a text)."""
+    n = read(spark, sf, "documents").select("doc_id", F.trim(F.regexp_replace("text", "[^A-Za-z0-9]+", " ")).alias("norm")).where(F.length("norm") > 0)
+    a = ((F.col("doc_id") * 37) % F.length("norm")).cast("int")
+    b = F.least(a + 1 + (F.col("doc_id") % 40).cast("int"), F.length("norm"))
+    return n.where(F.length("norm") < 4000).select("doc_id", T.word_range(F.col("norm"), a, b).alias("w")).select("doc_id", F.col("w.start").cast("long").alias("first"), F.col("w.end").cast("long").alias("last"))
+
+
+@query("""WITH RECURSIVE b AS (SELECT source AS book, doc_id AS block, CASE WHEN doc_id % 11 > 0 THEN doc_id // 7 END AS page FROM documents), f AS (SELECT book, min(block) AS block, min(block) FILTER (page IS NOT NULL) AS paged FROM b GROUP BY 1),
+ s AS (SELECT f.book, f.paged AS block, b.page FROM f JOIN b ON b.book = f.book AND b.block = f.paged UNION ALL SELECT s.book, n.block, n.page FROM s, LATERAL (SELECT block, page FROM b WHERE b.book = s.book AND b.block > s.block AND b.page >= s.page + 10 ORDER BY block LIMIT 1) n)
+ SELECT book, block FROM f UNION SELECT s.book, s.block FROM s JOIN f ON f.book = s.book WHERE s.block <> f.paged""".replace("UNION ALL SELECT s.book, n.block, n.page FROM s, LATERAL (SELECT block, page FROM b WHERE b.book = s.book AND b.block > s.block AND b.page >= s.page + 10 ORDER BY block LIMIT 1) n", "UNION ALL SELECT s.book, min(b.block), arg_min(b.page, b.block) FROM s JOIN b ON b.book = s.book AND b.block > s.block AND b.page >= s.page + 10 GROUP BY s.book, s.block"))
+def section_starts(spark, sf):
+    """Sections of ten pages or more in books without headings."""
+    d = read(spark, sf, "documents")
+    return starts(d.select(F.col("source").alias("book"), F.col("doc_id").alias("block"), F.when(F.col("doc_id") % 11 > 0, F.floor(F.col("doc_id") / 7)).alias("page")))
+
+
+@query()
+def doubled_units(spark, sf):
+    """Stretches that a reader wrote twice and the print has once, cut to one copy."""
+    h = _hash(F.col("page").cast("string"), "twice") % 7
+    t = _sheets(spark, sf)
+    unit = F.slice("tokens", 11, 10)
+    again = F.when(h == 0, unit).when(h == 1, F.concat(F.array(F.lit("(2)")), unit)).otherwise(F.array().cast("array<string>"))
+    written = F.concat(F.slice("tokens", 1, 20), again, F.slice("tokens", 21, PAGE))
+    printed = F.when(_hash(F.col("page").cast("string"), "printed") % 3 == 0, written).otherwise(F.col("tokens"))
+    rows = t.select("page", F.array_join(written, " ").alias("text"), F.array_join(printed, " ").alias("reference"))
+    cut = rows.withColumn("span", Q.doubled_span("text", "reference"))
+    return cut.where("span.start IS NOT NULL").select("page", "span.start", "span.stop", "span.words", F.md5(Q.without_doubled(F.col("text"), F.col("span")).cast("binary")).alias("text_md5"))
+
+
+@query()
+def clean_starts(spark, sf):
+    """The clean start of readings that ran into a loop, or into the writer's limit."""
+    h = _hash(F.col("page").cast("string"), "loop") % 5
+    text = F.array_join("tokens", " ")
+    rows = _sheets(spark, sf).select("page", (h > 2).alias("capped"), F.when(h < 2, F.concat(text, F.repeat(F.concat(F.lit(" and so on, "), F.element_at("tokens", -1)), F.lit(4)))).otherwise(text).alias("text"))
+    got = rows.withColumn("start", Q.before_loop("text", "capped"))
+    return got.where("start.cut OR capped").select("page", "start.cut", F.md5(Q.clean_start(F.col("start"), F.col("capped")).cast("binary")).alias("start_md5"))
+
+
+def _in_words(n: Column) -> Column:
+    """Words of a number from 1 to 1999, units before tens before hundreds before a thousand, "and" between."""
+    digit = lambda unit: F.floor(n / unit) % 10
+    pick = lambda table, at: F.get(F.array(*[F.lit(t) for t in table]), at.cast("int"))
+    one = lambda words: words.split()[0]
+    units = pick(["", *[one(U.UNITS[k]) for k in range(1, 10)]], digit(1))
+    tens = pick(["", *[one(U.TENS[10 * k]) for k in range(1, 10)]], digit(10))
+    hundreds = pick(["", one(U.HUNDRED), one(U.TWO_HUNDRED), *[one(U.UNITS[k]).removesuffix("ه") + one(U.HUNDRED) for k in range(3, 10)]], digit(100))
+    parts = F.filter(F.array(units, tens, hundreds, pick(["", U.THOUSAND], digit(1000))), lambda w: w != "")
+    return F.transform(parts, lambda w, i: F.when(i > 0, F.concat(F.lit("و"), w)).otherwise(w))
+
+
+@query()
+def year_checks(spark, sf):
+    """Numbers on every page whose value stands in words after them: they agree, differ, or the words stop short."""
+    h = _hash(F.col("page").cast("string"), "year")
+    n = (1 + h % 1999).cast("int")
+    printed = F.when(h % 5 == 0, n + 1).when(h % 5 == 1, n + 2000).otherwise(n)
+    shown = F.when(h % 2 == 0, F.concat(F.lit("("), F.translate(printed.cast("string"), "0123456789", "٠١٢٣٤٥٦٧٨٩"), F.lit(")"))).otherwise(printed.cast("string"))
+    tokens = F.concat(F.slice("tokens", 1, 3), F.array(shown), F.when(h % 3 == 0, F.array(F.lit("هـ"), F.lit(":"))).otherwise(F.array().cast("array<string>")), _in_words(n), F.slice("tokens", 4, 5))
+    found = _sheets(spark, sf).select("page", n.alias("n"), U.year_checks(tokens).alias("c"))
+    return found.select("page", "n", F.explode("c").alias("c")).select("page", "n", "c.*")
+
+
+def _bodies(spark, sf):
+    """``book, side, block, lines, page, words``: each body's blocks of the lines of all pages, cut and edited in its own way."""
+    s = _sheets(spark, sf)
+    n = F.floor((F.size("tokens") + LINE - 1) / LINE).cast("int")
+    lines = s.select("book", "page", F.explode(F.sequence(F.lit(0), n - 1)).alias("line"), "tokens")
+    lines = lines.select("book", "page", "line", (F.col("page") * 100 + F.col("line")).alias("id"), F.slice("tokens", F.col("line") * LINE + 1, LINE).alias("words"))
+    three = F.floor(F.col("line") / 3).cast("int")
+    of = lambda *x: _hash(F.col("page").cast("string"), *x)
+    block, own = of("block", three.cast("string")), of("line", F.col("line").cast("string"))
+    edited = lambda sign: F.transform("words", lambda w, i: F.when(i == 0, F.concat(w, F.lit(sign))).otherwise(w))
+    pair = of("pair", F.floor(F.col("line") / 6).cast("string")) % 7 == 0
+    base = lines.withColumn("side", F.lit("b")).withColumn("at", three * 3)
+    mine = lines.where(block % 13 > 0).withColumn("side", F.lit("m")).withColumn("at", F.when(pair, F.floor(F.col("line") / 6).cast("int") * 6).otherwise(three * 3)).withColumn("words", F.when(own % 17 == 0, edited("M")).otherwise(F.col("words")))
+    fresh = lines.where(own % 23 > 0).withColumn("side", F.lit("f")).withColumn("at", F.when(block % 5 == 0, F.col("line")).otherwise(three * 3)).withColumn("words", F.when(own % 19 == 0, edited("F")).otherwise(F.col("words")))
+    every = base.unionByName(mine).unionByName(fresh)
+    listed = F.array_sort(F.collect_list(F.struct("id", "words")))
+    by = every.groupBy("book", "page", "side", "at").agg(listed.alias("x"))
+    return by.select("book", "side", (F.col("page") * 100 + F.col("at")).alias("block"), F.transform("x", lambda r: r["id"]).alias("lines"), "page", F.flatten(F.transform("x", lambda r: r["words"])).alias("words"))
+
+
+@query()
+def change_plan(spark, sf):
+    """What to do with every changed stretch of all books after a fresh reading of two pages in three."""
+    pages = _sheets(spark, sf).select("book", "page")
+    p = C.plan(_bodies(spark, sf), pages.where(F.col("page") % 10 > 0), pages.where(F.col("page") % 3 > 0), pages.where(F.col("page") % 29 == 0))
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return p.select("book", text("mine").alias("mine"), text("base").alias("base"), text("fresh").alias("fresh"), "decision", F.md5(F.col("merged").cast("binary")).alias("merged_md5"), "conflicts", "anchor")

@@ -28,8 +28,9 @@ def usage_windows(events: DataFrame, ts: str, width: str = "1 hour", delay: str
 def maintain_index(pages: DataFrame, path: str, checkpoint: str, page: str = "page_id", book: str = "book", text: str = "text"):
     """Keeps a Parquet index by ``book`` up to date from a stream of changed pages; only touched books are rewritten.
 
-    A batch writes the merged rows of its books to a folder of their own before they replace the old ones, so a
-    failed batch leaves the index as it was.  The last text of a page in a batch counts; an empty text drops its row.
+    A batch writes the merged rows of its books to a folder of their own before they replace the old ones, book by book: a
+    batch that fails while it replaces them leaves some books new and some old until it is run again
+    (:mod:`.snapshots` has no such moment).  The last text of a page in a batch counts; an empty text drops its row.
     """
 
     def merge(batch: DataFrame, epoch: int) -> None:
