@@ -227,8 +227,8 @@ def folded_replace(spark, sf):
 
 
 @query("""WITH n AS (SELECT doc_id, trim(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')) AS norm FROM documents), r AS (SELECT doc_id, norm, CAST((doc_id * 37) % length(norm) AS INT) AS a FROM n WHERE length(norm) > 0),
- b AS (SELECT doc_id, norm, a, least(a + 1 + doc_id % 40, length(norm)) AS b FROM r), s AS (SELECT doc_id, a, b, list_transform(range(1, len(string_split(norm, ' ')) + 1), lambda i: CAST(length(array_to_string(string_split(norm, ' ')[1 : i - 1], ' ')) + CASE WHEN i > 1 THEN 1 ELSE 0 END AS INT)) AS at FROM b WHERE length(norm) < 4000)
- SELECT doc_id, len(list_filter(at, lambda x: x <= a)) - 1 AS first, greatest(len(list_filter(at, lambda x: x <= a)) - 1, len(list_filter(at, lambda x: x < b)) - 1) + 1 AS last FROM s""")
+ b AS (SELECT doc_id, norm, a, least(a + 1 + doc_id % 40, length(norm)) AS b FROM r), s AS (SELECT doc_id, a, b, list_transform(range(1, len(string_split(norm, ' ')) + 1), lambda i: CAST(length(array_to_string(string_split(norm, ' ')[1 : i - 1], ' ')) + CASE WHEN i > 1 THEN 1 ELSE 0 END AS INT)) AS sp FROM b WHERE length(norm) < 4000)
+ SELECT doc_id, len(list_filter(sp, lambda x: x <= a)) - 1 AS first, greatest(len(list_filter(sp, lambda x: x <= a)) - 1, len(list_filter(sp, lambda x: x < b)) - 1) + 1 AS last FROM s""")
 def char_to_word_range(spark, sf):
     """Words that a range of characters touches, in texts under 4,000 characters (the SQL is quadratic in a text)."""
     n = read(spark, sf, "documents").select("doc_id", F.trim(F.regexp_replace("text", "[^A-Za-z0-9]+", " ")).alias("norm")).where(F.length("norm") > 0)
@@ -238,8 +238,8 @@ def char_to_word_range(spark, sf):
 
 
 @query("""WITH RECURSIVE b AS (SELECT source AS book, doc_id AS block, CASE WHEN doc_id % 11 > 0 THEN doc_id // 7 END AS page FROM documents), f AS (SELECT book, min(block) AS block, min(block) FILTER (page IS NOT NULL) AS paged FROM b GROUP BY 1),
- s AS (SELECT f.book, f.paged AS block, b.page FROM f JOIN b ON b.book = f.book AND b.block = f.paged UNION ALL SELECT s.book, n.block, n.page FROM s, LATERAL (SELECT block, page FROM b WHERE b.book = s.book AND b.block > s.block AND b.page >= s.page + 10 ORDER BY block LIMIT 1) n)
- SELECT book, block FROM f UNION SELECT s.book, s.block FROM s JOIN f ON f.book = s.book WHERE s.block <> f.paged""".replace("UNION ALL SELECT s.book, n.block, n.page FROM s, LATERAL (SELECT block, page FROM b WHERE b.book = s.book AND b.block > s.block AND b.page >= s.page + 10 ORDER BY block LIMIT 1) n", "UNION ALL SELECT s.book, min(b.block), arg_min(b.page, b.block) FROM s JOIN b ON b.book = s.book AND b.block > s.block AND b.page >= s.page + 10 GROUP BY s.book, s.block"))
+ s AS (SELECT f.book, f.paged AS block, b.page FROM f JOIN b ON b.book = f.book AND b.block = f.paged UNION ALL SELECT s.book, min(b.block), arg_min(b.page, b.block) FROM s JOIN b ON b.book = s.book AND b.block > s.block AND b.page >= s.page + 10 GROUP BY s.book, s.block)
+ SELECT book, block FROM f UNION SELECT s.book, s.block FROM s JOIN f ON f.book = s.book WHERE s.block <> f.paged""")
 def section_starts(spark, sf):
     """Sections of ten pages or more in books without headings."""
     d = read(spark, sf, "documents")
