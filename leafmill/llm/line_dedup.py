@@ -14,10 +14,11 @@ square; then pairs are formed only where the later side is not settled.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, materialize, remove
@@ -88,6 +89,21 @@ def _level(levels: bytes, h: Column) -> Column:
     return F.ascii(F.substr(F.lit(bytearray(levels)), place, F.lit(1)).cast("string")).cast("long")
 
 
+@contextmanager
+def short_plans(spark: SparkSession, length: int = 20_000):
+    """While a plan holds the table of levels as a constant, the driver keeps the beginning of its text alone.
+
+    Spark stores the text of every plan, and of each change to it at run time, with two letters a byte of the table.
+    """
+    name = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(length))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def level_of_share(levels: bytes, share: float) -> int:
     """The level up to which this share of all words in lines lies."""
     number = np.bincount(np.frombuffer(levels, dtype=np.uint8), minlength=128)
@@ -157,7 +173,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = docs.select(F.col(id_col), F.col(text_col))
     words = materialize(tokens(text, id_col, text_col), "line-tokens", compression="zstd", **{"parquet.dictionary.page.size": str(16 << 20)})
     sets = signed(words, rarity(words)).groupBy("sid").agg(F.min("first").alias("first"), *[F.first(c).alias(c) for c in ("n", *SIGNED, "pre")])
-    sets = materialize(sets, "line-sets")
+    with short_plans(docs.sparkSession):
+        sets = materialize(sets, "line-sets")
     doc = F.coalesce("first.doc_id", F.lit(NO_ID)).alias("doc")
     able = sets.where("n >= 4")
 
