@@ -72,3 +72,55 @@ def test_awkward_rows_and_joined_counts(spark):
     b = check(df, lm.score(df, model, rounds=1, head=5))
     assert sorted((str(r["doc_id"]), round(r["score"], 6)) for r in a) == sorted((str(r["doc_id"]), round(r["score"], 6)) for r in b)
     assert lm.score(df.limit(0), model, rounds=1).collect() == []
+
+
+def in_double(pieces, words, counts):
+    """Expected uses as :meth:`Pieces.expect` gives them, with the recursions in double precision."""
+    total = np.zeros(len(pieces.texts))
+    for own, block in lm.blocks(words):
+        edges, n = pieces.edges(block), block.shape[1]
+        alpha, beta = pieces.forward(block, edges), pieces.backward(n, edges, len(own))
+        for m, e in edges.items():
+            r, c = np.nonzero(e >= 0)
+            use = np.exp(alpha[r, c] + pieces.logp[e[r, c]] + beta[r, c + m] - alpha[r, n]) * np.asarray(counts, dtype=float)[own][r]
+            total += np.bincount(e[r, c], use, len(total))
+    return total
+
+
+def test_scores_are_sums_over_segmentations_in_either_precision(spark, sf):
+    """The score of whole documents against a recursion over all segmentations, under models fitted in double and in single precision."""
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    model = queries.vocabulary("piece_bpe_32k.model")
+    rows = df.select("doc_id", "text").collect()
+    c = Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            c.update((t or "").encode().lower().split())
+            c[b""] += 1
+    start = lm.vocabulary(model)
+    words = [w for w in c if w]
+    pieces, prior = start, np.exp(start.logp) * lm.PRIOR
+    for _ in range(4):
+        uses = prior + in_double(pieces, words, [c[w] for w in words])
+        uses[-1] += c[b""]
+        pieces = lm.Pieces(pieces.texts, np.log(uses / uses.sum()))
+    got = {r["doc_id"]: r["score"] for r in lm.score(df, model).collect()}
+    texts = {i: (t or "").encode().lower().split() for i, t in rows}
+    short = [i for i, w in texts.items() if len(w) < 400][:60]
+    p = {t: math.exp(x) for t, x in zip(pieces.texts[:-1], pieces.logp)}
+    longest = max(map(len, p))
+
+    def log10(word):
+        raw, total = b" " + word, [1.0]
+        for k in range(1, len(raw) + 1):
+            total.append(sum(total[j] * p.get(raw[j:k], 0) for j in range(max(0, k - longest), k)))
+        return math.log10(total[-1])
+
+    known = {w: log10(w) for w in {w for i in short for w in texts[i] if len(w) <= 60}}
+    end, worst, compared = float(pieces.logp[-1]) / math.log(10), 0.0, 0
+    for i in short:
+        if all(w in known for w in texts[i]):
+            want = sum(known[w] for w in texts[i]) + end
+            worst, compared = max(worst, abs(got[i] - want) / abs(want)), compared + 1
+    assert compared > 30
+    assert worst < 1e-4, worst  # the recursions' single precision shows in the fifth digit at most

@@ -7,6 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from leafmill.llm import packing, queries, token_counts, token_orc
 from leafmill.llm.tokenize import WordEncoder
 
@@ -67,6 +69,38 @@ def test_orc_lookup_uses_metadata(spark, tmp_path):
     assert sum(f.nrows for f in files) == 300 and all(f.row_index_stride == 10_000 for f in files)
 
 
+def rows_read(spark, path, ident):
+    """Rows that the scan gives for a look-up by id, before they are filtered, and the kinds of streams in the stripes."""
+    import glob
+
+    found = spark.read.schema(token_orc.SCHEMA).orc(f"file://{path}").where(F.col("doc_id") == ident)
+    found.collect()
+    leaves, n = found._jdf.queryExecution().executedPlan().collectLeaves(), 0
+    for k in range(leaves.size()):
+        n += leaves.apply(k).metrics().apply("numOutputRows").value()
+    jvm, kinds = spark._jvm, set()
+    for f in glob.glob(f"{path}/*.orc"):
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f"file://{f}"), jvm.org.apache.orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+        rows = reader.rows()
+        for stripe in reader.getStripes():
+            kinds |= {x.getKind().toString() for x in rows.readStripeFooter(stripe).getStreamsList()}
+        rows.close()
+    return n, kinds
+
+
+def test_orc_lookup_reads_row_groups_that_may_hold_the_id(spark, tmp_path):
+    """Row groups are skipped by their bounds, and, for an id between them, by the Bloom filter; neither without the index or filter."""
+    df = spark.range(0, 6000).selectExpr("2 * id AS doc_id", "concat('text ', id) AS text").coalesce(1)
+    token_orc.write(df, BYTE, 2, f"file://{tmp_path}/x", stride=1000)
+    n, kinds = rows_read(spark, f"{tmp_path}/x", 5000)
+    assert 0 < n <= 1000 * 6 / 4 and {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= kinds
+    between = sum(rows_read(spark, f"{tmp_path}/x", k)[0] for k in (5001, 7001, 301))
+    assert between <= 1000  # an odd id is nowhere; a filter is wrong for one id in a hundred
+    spark.read.orc(f"file://{tmp_path}/x").coalesce(1).sortWithinPartitions("doc_id").write.option("orc.create.index", "false").orc(f"file://{tmp_path}/plain")
+    n, kinds = rows_read(spark, f"{tmp_path}/plain", 5001)
+    assert n == 6000 and "BLOOM_FILTER_UTF8" not in kinds
+
+
 def brute_greedy(word, initial, following):
     n, i = 0, 0
     while i < len(word):
