@@ -112,7 +112,7 @@ def ready_books(spark, sf):
 def repeatable_verdicts(spark, sf):
     """Fingerprints of results, and whether a second run over other partitions gives the same."""
     e = read(spark, sf, "events").select("user_id", "event_id", "event_type")
-    again = R.fingerprint(e.repartition("event_type"), "user_id", "event_id", "event_type").withColumnRenamed("fingerprint", "again")
+    again = R.fingerprint(e.repartition("event_id"), "user_id", "event_id", "event_type").withColumnRenamed("fingerprint", "again")
     return R.fingerprint(e, "user_id", "event_id", "event_type").join(again, "user_id").select("user_id", "fingerprint", (F.col("fingerprint") == F.col("again")).alias("repeatable"))
 
 

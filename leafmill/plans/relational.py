@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import index as I
 from ..operators import ledger as L
 from ..operators import library as B
+from ..operators import ranges
 from .registry import query, read
 
 
@@ -49,13 +50,14 @@ def latest_per_key(spark, sf):
 def newest_sum_median(spark, sf):
     """Newest value per key, summed per group, and the median of the positive sums with a fallback."""
     newest = read(spark, sf, "events").groupBy("user_id", "event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("v"))
-    return newest.groupBy("user_id").agg(F.sum("v").alias("s")).where("s > 0").agg(F.coalesce(F.round(F.median("s"), 6), F.lit(20.0)).alias("seconds"), F.count("*").alias("users"))
+    m = ranges.middle(newest.groupBy("user_id").agg(F.sum("v").alias("s")).where("s > 0"), "s")
+    return m.select(F.coalesce(F.round("median", 6), F.lit(20.0)).alias("seconds"), F.col("n").alias("users"))
 
 
 @query("""SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, count(*) AS n FROM events GROUP BY event_type""")
 def percentile_nearest_rank(spark, sf):
     """Nearest-rank percentiles."""
-    return read(spark, sf, "events").groupBy("event_type").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.count("*").alias("n"))
+    return ranges.nearest_rank(read(spark, sf, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
 
 
 @query("""WITH d AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) FILTER (value > 50) AS hits, count(*) AS n FROM events GROUP BY ALL)
@@ -221,7 +223,7 @@ def prune_keep_n(spark, sf):
 def usage_ranked(spark, sf):
     """Usage by book, the most used first, ties by title; ranked after grouping, over suppliers alone."""
     u = read(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.round(F.sum("l_quantity"), 2).alias("pages")).join(read(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return u.select("l_suppkey", "s_name", "pages", F.row_number().over(Window.orderBy(F.desc("pages"), "s_name")).alias("rank"))
+    return ranges.ranked(u.select("l_suppkey", "s_name", "pages"), F.desc("pages"), F.asc("s_name"))
 
 
 @query(f"""WITH g AS ({_GRANTS}), n AS (SELECT max(o_orderdate) AS now FROM orders) SELECT o_custkey, id, -remaining AS pages, expires_at AS created_at FROM g, n WHERE expires_at <= now AND remaining > 0""")
@@ -301,8 +303,11 @@ def text_measure(spark, sf):
 
 @query("""SELECT a.s_suppkey, b.c_custkey FROM supplier a JOIN customer b ON a.s_nationkey = b.c_nationkey AND b.c_acctbal BETWEEN a.s_acctbal - 10 AND a.s_acctbal + 10""")
 def band_join(spark, sf):
-    """Equi-join with a band; the narrow side's size is left to the planner."""
-    return read(spark, sf, "supplier").join(read(spark, sf, "customer"), (F.col("s_nationkey") == F.col("c_nationkey")) & F.col("c_acctbal").between(F.col("s_acctbal") - 10, F.col("s_acctbal") + 10)).select("s_suppkey", "c_custkey")
+    """A band as an equi-join: both sides by nation and stretch of twenty, one side in the two that its band can touch."""
+    stretch = lambda c: F.floor(c / 20)
+    s = read(spark, sf, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal", F.explode(F.array_distinct(F.array(stretch(F.col("s_acctbal") - 10), stretch(F.col("s_acctbal") + 10)))).alias("band"))
+    c = read(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal", stretch(F.col("c_acctbal")).alias("band2"))
+    return s.join(c, (F.col("s_nationkey") == F.col("c_nationkey")) & (F.col("band") == F.col("band2")) & F.col("c_acctbal").between(F.col("s_acctbal") - 10, F.col("s_acctbal") + 10)).select("s_suppkey", "c_custkey")
 
 
 @query("""SELECT DISTINCT user_id, 'both' AS side FROM events WHERE event_type = 'click' AND user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase') UNION ALL (SELECT user_id, 'only' FROM events WHERE event_type = 'click' EXCEPT SELECT user_id, 'only' FROM events WHERE event_type = 'purchase')""")
