@@ -27,7 +27,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import books, records, relational, reviewed, texts  # noqa: F401
+    from . import books, records, relational, reviewed, rounds, texts  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

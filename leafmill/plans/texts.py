@@ -124,10 +124,10 @@ def substring_baseline(spark, sf):
 
 
 def _duck_markup() -> str:
-    t = "html"
-    steps = [(r"(?i)<\s*br\s*/?>", "chr(10)"), (rf"(?i)</\s*({T.BLOCKS})\s*>", "chr(10)"), (r"(?i)</\s*t[dh]\s*>", "' '"), ("<[^>]+>", "''")]
-    for pattern, to in steps:
-        t = f"regexp_replace({t}, '{pattern}', {to}, 'g')"
+    # Texts and tags in turn; each tag is what it stands for, and all are joined.
+    texts, tags = "regexp_split_to_array(html, '<[^>]+>')", "regexp_extract_all(html, '<[^>]+>')"
+    stands = f"CASE WHEN regexp_matches({tags}[i], '{T._LINE_END}') THEN chr(10) WHEN regexp_matches({tags}[i], '{T._CELL_END}') THEN ' ' ELSE '' END"
+    t = f"array_to_string(list_transform(range(1, len({texts}) + 1), lambda i: {texts}[i] || {stands}), '')"
     for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("nbsp", chr(0xA0)), ("copy", "©"), ("middot", "·"), ("amp", "&")):
         t = f"replace({t}, '&{name};', '{char}')"
     lines = rf"array_to_string(list_transform(string_split({t}, chr(10)), lambda s: regexp_replace(s, '^(?:\s{{0,3}}#{{1,6}}\s*)?(?:\s*[-:| ]{{3,}}\s*$|\s*[-*•](?:\s+|$))?', '')), chr(10))"
