@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from leafmill.functions import typography as Y
-from leafmill.operators import search
+from leafmill.operators import evaluate, search
 from leafmill.plans import reviewed
 
 CLOSING = set(".،؛:؟!,;?)]»”")
@@ -116,3 +116,15 @@ def test_verdicts_on_reviewed_text(spark, sf):
         if r["status"] == "exact" and r["row"] == k:
             said = asked[k]["attributed_to"]
             assert r["attribution"] == {("author", False): "note_not_author", ("editor", True): "body_not_editor"}.get((said, body), "ok")
+
+
+def test_systems_differ_where_they_should(spark, sf):
+    rows = reviewed._rows(spark, sf)
+    cases = evaluate.reviewed_cases(rows.where("page % 4 = 0"), "row", seed=3)
+    got = {(r["cls"], r["system"]): (r["n"], r["as_expected"]) for r in evaluate.systems(rows, cases, "row").collect()}
+    classes = {c for c, _ in got}
+    assert classes >= {"exact_body", "exact_notes", "misattributed_note", "replaced_sure", "doubtful_reading", "lost"}
+    for c in classes:
+        assert got[c, "verify"][1] >= (0.75 if c in ("doubtful_reading", "replaced_sure") else 0.9), (c, got[c, "verify"])
+        # A search knows that a text is there, not whose it is nor what was changed in it.
+        assert (got[c, "normal_search"][1] == 0) == (c in ("misattributed_note", "misattributed_body", "replaced_sure", "doubtful_reading"))
