@@ -143,3 +143,14 @@ def test_books_that_lose_all_pages_and_streams(spark, tmp_path):
         q = snapshots.maintain(spark.readStream.schema(schema).parquet(src), path, f"file://{tmp_path}/cp").trigger(availableNow=True).start()
         q.awaitTermination()
     assert texts(spark, path) == {}
+
+
+def test_blocks_of_the_same_lines_make_no_edges(spark, monkeypatch):
+    from leafmill.operators import changes as C
+
+    rows = [("k", s, 1, [1, 2, 2]) for s in "mbf"] + [("k", "m", 5, [5, 6]), ("k", "b", 5, [5]), ("k", "b", 6, [6]), ("k", "f", 9, [])]
+    seen, whole = [], C.components
+    monkeypatch.setattr(C, "components", lambda edges, a, b: seen.append(edges.count()) or whole(edges, a, b))
+    got = {(r["side"], r["block"]): r["cluster"] for r in C.clusters(spark.createDataFrame(rows, "book string, side string, block long, lines array<long>")).collect()}
+    assert seen == [2]
+    assert got == {("m", 1): "k/b/1", ("b", 1): "k/b/1", ("f", 1): "k/b/1", ("m", 5): "k/b/5", ("b", 5): "k/b/5", ("b", 6): "k/b/5"}
