@@ -38,14 +38,16 @@ def get_passages(index: DataFrame, passages: DataFrame) -> DataFrame:
     place = lambda w: F.struct(w["ord"].cast("long"), w["i"].cast("long"))
     ends = lambda a, b: F.struct(F.col(a), F.col(b))
     within = lambda w: ((F.col("__page") > F.col("from_page")) | (place(w) >= ends("line", "i"))) & ((F.col("__page") < F.col("end_page")) | (place(w) <= ends("end_line", "end_i")))
-    w = rows.select("passage", "end_page", "__page", F.posexplode(F.filter("words", within)).alias("k", "w"))
+    w = rows.select("passage", "end_page", "__page", T.once(F.filter("words", within)).alias("w")).select("passage", "end_page", "__page", F.posexplode("w").alias("k", "w"))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__page", "k", "w.text"))), lambda x: x["text"]), " ")
     return w.groupBy("passage", "end_page").agg(listed.alias("text"), span_state(F.col("w.state") == "reviewed").alias("state"), F.count("*").alias("words"))
 
 
 def uncertain_words(index: DataFrame) -> DataFrame:
     """``page, kind, at, text, before, after, nth, total``: doubtful words with what stands around them, numbered by page and kind."""
-    w = index.select("page", "kind", "words", F.posexplode("words").alias("at", "w")).where("w.state = 'doubtful'")
-    around = lambda a, n: F.array_join(F.transform(F.slice("words", a, n), lambda x: x["text"]), " ")
-    own = Window.partitionBy("page", "kind")
-    return w.select("page", "kind", "at", F.col("w.text").alias("text"), around(F.greatest(F.col("at") - AROUND, F.lit(0)) + 1, F.least(F.col("at"), F.lit(AROUND))).alias("before"), around(F.col("at") + 2, F.lit(AROUND)).alias("after"), F.row_number().over(own.orderBy("at")).alias("nth"), F.count("*").over(own).alias("total"))
+    part = lambda a, n: F.array_join(F.transform(F.slice("words", a, n), lambda x: x["text"]), " ")
+    around = lambda at: F.struct(at.alias("at"), F.get("words", at)["text"].alias("text"), part(F.greatest(at - AROUND, F.lit(0)) + 1, F.least(at, F.lit(AROUND))).alias("before"), part(at + 2, F.lit(AROUND)).alias("after"))
+    places = F.filter(F.transform("words", lambda w, i: F.when(w["state"] == "doubtful", i)), lambda i: i.isNotNull())
+    # Of a page's words only those around go with a doubtful one; its number is its place in the page's list of them.
+    listed = index.select("page", "kind", T.once(F.transform(places, around)).alias("x")).select("page", "kind", F.size("x").cast("long").alias("total"), F.posexplode("x").alias("n", "x"))
+    return listed.select("page", "kind", "x.at", "x.text", "x.before", "x.after", (F.col("n") + 1).alias("nth"), "total")

@@ -34,3 +34,17 @@ def test_lines_and_pages_do_not_carry_the_text(spark, tmp_path):
     for df in (sheets, lines):
         exploded = [x for x in plan(df).splitlines() if "Generate posexplode(" in x]
         assert exploded and all("w#" not in x.split("[")[1].split("]")[0] for x in exploded)
+
+
+def test_rows_of_reviewed_text_are_written_once(spark, sf):
+    assert hasattr(reviewed._rows(spark, sf), "written_at")
+
+
+def test_uncertain_words_do_not_carry_the_page(spark):
+    from leafmill.operators import books as K
+
+    words = [("a", "reviewed"), ("b", "doubtful"), ("c", "reviewed"), ("d", "doubtful")]
+    ix = spark.createDataFrame([(1, "body", words)], "page int, kind string, words array<struct<text:string,state:string>>")
+    got = K.uncertain_words(ix)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "body", 1, "b", "a", "c d", 1, 2), (1, "body", 3, "d", "a b c", "", 2, 2)]
+    assert "Window" not in plan(got)
