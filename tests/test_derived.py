@@ -48,3 +48,27 @@ def test_uncertain_words_do_not_carry_the_page(spark):
     got = K.uncertain_words(ix)
     assert sorted(tuple(r) for r in got.collect()) == [(1, "body", 1, "b", "a", "c d", 1, 2), (1, "body", 3, "d", "a b c", "", 2, 2)]
     assert "Window" not in plan(got)
+
+
+def test_vocabulary_shuffles_words_not_the_words_of_pages(spark):
+    from leafmill.operators import index as I
+
+    index = spark.createDataFrame([(["b", "a", "b"],), (["a"],), ([],), (None,)], "norms array<string>")
+    words = I.vocabulary(index)
+    assert words._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert {tuple(r) for r in words.collect()} == {("a", 2, 2), ("b", 2, 1)}
+
+
+def test_examples_make_lines_of_a_books_first_pages_alone(spark, tmp_path, monkeypatch):
+    from leafmill.operators import index as I
+    from leafmill.plans import reviewed
+
+    # Book "late" has no words on its first seventy pages, "short" has few pages, "long" many.
+    words = " ".join(f"{w}{'abcdefgh'[k]}" for k in range(8) for w in ("one", "two", "three", "four", "five", "six"))
+    books = [("late", None if k < 70 else words) for k in range(120)] + [("short", words)] * 3 + [("long", words)] * 400
+    spark.createDataFrame([(i, t, "en", b, 1) for i, (b, t) in enumerate(books)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, plain = [], I.index_lines
+    monkeypatch.setattr(I, "index_lines", lambda lines: seen.append(lines.select("page_id").distinct().count()) or plain(lines))
+    got = {r["book"]: r["page"] for r in reviewed.example_quotes(spark, str(tmp_path)).collect()}
+    assert set(got) == {"late", "short", "long"} and 70 <= got["late"] < 110 and 123 <= got["long"] < 163
+    assert max(seen) < 330
