@@ -21,7 +21,8 @@ def section_starts(blocks: DataFrame, pages: int = 10) -> DataFrame:
     w = Window.partitionBy("book").orderBy("block")
     paged = b.where("page IS NOT NULL").withColumn("top", F.max("page").over(w))
     tops = paged.groupBy("book", "top").agg(F.min("block").alias("at"))
-    far = Window.partitionBy("book").orderBy("top").rangeBetween(pages, Window.unboundedFollowing)
+    # From the highest page downwards the frame only grows; upwards it would be gone through anew for every row.
+    far = Window.partitionBy("book").orderBy(F.desc("top")).rangeBetween(Window.unboundedPreceding, -pages)
     links = materialize(paged.where("page = top").join(tops.withColumn("next", F.min("at").over(far)).select("book", "top", "next"), ["book", "top"]).where("next IS NOT NULL").select("book", "block", "next"), "section-links")
     reached = materialize(paged.groupBy("book").agg(F.min("block").alias("block")), "section-starts")
     n = reached.count()

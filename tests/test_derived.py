@@ -72,3 +72,21 @@ def test_examples_make_lines_of_a_books_first_pages_alone(spark, tmp_path, monke
     got = {r["book"]: r["page"] for r in reviewed.example_quotes(spark, str(tmp_path)).collect()}
     assert set(got) == {"late", "short", "long"} and 70 <= got["late"] < 110 and 123 <= got["long"] < 163
     assert max(seen) < 330
+
+
+def test_a_long_book_without_headings_is_gone_through_once(spark):
+    import time
+
+    from leafmill.operators.sections import section_starts
+
+    n = 200_000
+    blocks = spark.range(n).select(F.lit("b").alias("book"), F.col("id").alias("block"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("page"))
+    starts, at = {0}, 1
+    page = lambda i: i if i % 3 else None
+    for i in range(2, n):
+        if page(i) is not None and page(i) >= page(at) + 10:
+            starts.add(i)
+            at = i
+    began = time.time()
+    assert {r["block"] for r in section_starts(blocks).collect()} == starts
+    assert time.time() - began < 90
