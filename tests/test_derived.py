@@ -90,3 +90,12 @@ def test_a_long_book_without_headings_is_gone_through_once(spark):
     began = time.time()
     assert {r["block"] for r in section_starts(blocks).collect()} == starts
     assert time.time() - began < 90
+
+
+def test_words_counted_one_by_one_are_not_grouped_by_page(spark, sf):
+    from leafmill.plans import reviewed
+
+    words = reviewed._line_words(spark, sf)
+    assert "hashpartitioning(page" not in words._jdf.queryExecution().executedPlan().toString()
+    own = words.select("page", "kind", F.explode("own.norm").alias("w")).groupBy("page", "kind").agg(F.count("*").alias("n"))
+    assert {tuple(r) for r in own.collect()} == {tuple(r) for r in reviewed._index(spark, sf).select("page", "kind", F.size("words").alias("n")).collect()}
