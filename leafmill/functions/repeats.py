@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import takewhile
 
 import numpy as np
 import pandas as pd
@@ -28,9 +29,16 @@ def doubled_unit(words: list[str], allowed=lambda start, length: True, low: int
     stands where such a run is as long as it, so all lengths are looked at in one pass each and no words are compared twice.
     """
     n, number = len(words), {}
+    # A unit's first words recur at its distance: most texts have no such words, the others few distances to look at.
+    at: dict[tuple, list[int]] = {}
+    for i, g in enumerate(zip(*[words[k:] for k in range(low)])):
+        at.setdefault(g, []).append(i)
+    distances = {j - i for places in at.values() if len(places) > 1 for k, i in enumerate(places) for j in takewhile(lambda j: j - i <= high + 1, places[k + 1 :])}
+    if not distances:
+        return None
     ids = np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int64, count=n)
     hits = []
-    for distance in range(low, min(high + 1, n) + 1):
+    for distance in sorted(d for d in distances if low <= d <= min(high + 1, n)):
         same = ids[:-distance] == ids[distance:]
         # Length of the run of equal places from each place on.
         ends = np.where(same, n, np.arange(len(same)))
