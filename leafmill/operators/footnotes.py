@@ -57,6 +57,10 @@ def _is_text(text: str, start: int, end: int) -> bool:
     return bool(dash) or bool(before and re.sub(f"[{VOWEL_MARKS}]", "", before[-1]) in YEARS) or bool(after and after[0].rstrip("،,؛;") in ERAS)
 
 
+#: For each of the styles the characters of which its calls have one at least: a text without them is not gone through.
+NEEDED = [re.compile(f"[{c}]") for c in (r"(\[", r"(\[", rf"(\[)\]{STROKES}", STROKES, STROKES, RAISED, _D, _D, "ا")]
+
+
 def calls_in(text: str) -> list[dict]:
     """Calls of a block's text in reading order.
 
@@ -65,8 +69,8 @@ def calls_in(text: str) -> list[dict]:
     """
     taken: list[tuple[int, int]] = []
     found = []
-    for style, pattern in STYLES:
-        for m in pattern.finditer(text):
+    for (style, pattern), needed in zip(STYLES, NEEDED):
+        for m in pattern.finditer(text) if needed.search(text) else ():
             start, end = m.span("call")
             if any(a < end and start < b for a, b in taken) or style == "standalone" and _is_text(text, start, end):
                 continue

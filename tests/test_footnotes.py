@@ -1,6 +1,7 @@
 """Footnote calls, notes and links against plain loops, and the repair rules on pages made for them."""
 
 import random
+import re
 
 from leafmill.operators import footnotes as N
 from leafmill.plans import books
@@ -150,3 +151,29 @@ def test_queries_link_most_notes(spark, sf):
     want = sorted(((page, *x) for page, n in own.items() for x in plain_links(n, by.get(page, []))), key=repr)
     got = sorted(((r["page"], r["note"], r["call"], r["how"]) for r in books.footnote_links(spark, sf).collect()), key=repr)
     assert got == want
+
+
+def test_styles_without_their_characters_are_passed_over(monkeypatch):
+    """A text is gone through by the styles whose characters it has alone; what is found is the same."""
+    import random
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["word ", "كلمة ", "(1)", "[٣] ", "”", "ا ", "¹", "7", " 12 .", "*", "(", ")", "« ", "text. "]) for _ in range(rng.randrange(1, 12))) for _ in range(2000)]
+    short, tried = [N.calls_in(t) for t in texts], []
+
+    class Seen:
+        def __init__(self, pattern):
+            self.finditer = lambda text: tried.append(text) or pattern.finditer(text)
+
+    monkeypatch.setattr(N, "STYLES", [(style, Seen(p)) for style, p in N.STYLES])
+    assert N.calls_in("plain words of a text") == [] and not tried
+    monkeypatch.setattr(N, "NEEDED", [re.compile("")] * len(N.NEEDED))
+    assert short == [N.calls_in(t) for t in texts]
+
+
+def test_hosts_do_not_make_the_blocks_texts_again(spark, sf):
+    from leafmill.plans import books
+
+    blocks, _ = books._noted(spark, sf)
+    assert "array_join" not in blocks.select("book", "number", "page", "block")._jdf.queryExecution().optimizedPlan().toString()
+    assert all(hasattr(t, "written_at") for t in books._book(spark, sf))
