@@ -79,3 +79,20 @@ def test_rows_without_or_with_shared_ids_are_documents_of_their_own(spark, monke
         assert {"clean two", "kept a", "first text of seven", "other text with seven"} <= set(lines)
         assert out.count("wholly different words\nclean three") == 2  # one document read twice
         assert sorted(r["n_removed"] for r in line_dedup.summary(df).collect()) == [0, 0, 0, 0, 1, 2]
+
+
+def test_the_table_of_levels_takes_little_of_the_plan(spark, sf):
+    words = line_dedup.tokens(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text")
+    plan = line_dedup.signed(words, line_dedup.rarity(words))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 1_000_000  # 2,097,152 hex digits before
+
+
+def test_a_crowd_of_lines_not_quite_alike_makes_few_candidates(spark, monkeypatch):
+    rng = random.Random(8)
+    base, made = [f"common{k}" for k in range(60)], []
+    rows = [(d, " ".join(f"own{d}x{k}" if k in own else w for k, w in enumerate(base))) for d in range(300) for own in [rng.sample(range(60), 9)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    verified = line_dedup.verified
+    monkeypatch.setattr(line_dedup, "verified", lambda pairs, *a: made.append(pairs.count()) or verified(pairs, *a))
+    check(df, line_dedup.summary(df))
+    assert made[-1] < 100
