@@ -84,7 +84,7 @@ def test_rows_without_or_with_shared_ids_are_documents_of_their_own(spark, monke
 def test_the_table_of_levels_takes_little_of_the_plan(spark, sf):
     words = line_dedup.tokens(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text")
     plan = line_dedup.signed(words, line_dedup.rarity(words))._jdf.queryExecution().optimizedPlan().toString()
-    assert len(plan) < 1_000_000  # 2,097,152 hex digits before
+    assert len(plan) < 1_000_000  # a megabyte, at two letters a byte, before
 
 
 def test_a_crowd_of_lines_not_quite_alike_makes_few_candidates(spark, monkeypatch):
