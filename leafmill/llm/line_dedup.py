@@ -7,7 +7,7 @@ prefix filtering: words are ordered by rarity (a table of counts by hash bucket)
 and pairs that share such a word pass a length filter, a positional filter and a signature of their rare words before their Jaccard
 similarity (0.8 or more) is verified on the whole sets.  Of a matching pair the later line is removed.
 
-One earlier match is enough to remove a line.  So where many sets share a word at an end of their prefixes they are first
+One earlier match is enough to remove a line.  So where many sets share two words at the ends of their prefixes they are first
 compared with a few early ones alone, which settles the copies of a line at a cost that grows with their number, not with
 its square; then pairs are formed only where the later side is not settled.
 """
@@ -26,7 +26,7 @@ from .common import SPACE_CLASS, materialize, remove
 
 #: Buckets of the table of word counts, words of the bit filter of candidate sets, and words at either end of a prefix by which copies meet first.
 COUNTS, BITS, LEAD = 1 << 16, 1 << 16, 2
-#: Lines that share a word at an end of their prefixes, beyond which they are first compared with a few early ones.
+#: Lines that share two words at the ends of their prefixes, beyond which they are first compared with a few early ones.
 CROWD = 64
 #: Sets of each group, the earliest of as many parts of it, that all others are compared with first.
 HEADS = 8
@@ -191,8 +191,11 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     doc = F.coalesce("first.doc_id", F.lit(NO_ID)).alias("doc")
     able = sets.where("n >= 4")
 
-    # The rarest words tell few copies from other lines; words of very many copies are the least rare of a prefix.
-    lead = able.select("sid", "n", *SIGNED, doc, F.size("pre").alias("p"), F.posexplode("pre").alias("i", "t")).where((F.col("t") != 0) & ((F.col("i") < LEAD) | (F.col("i") >= F.col("p") - LEAD))).drop("p")
+    # The rarest words tell few copies from other lines; words of very many copies are the least rare of a prefix.  Two of them
+    # together are shared by copies, while one word alone is in more and more lines that have nothing else in common.
+    ends = F.filter(F.transform("pre", lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda x: (x["t"] != 0) & ((x["i"] < LEAD) | (x["i"] >= F.size("pre") - LEAD)))
+    two = F.flatten(F.transform("ends", lambda a: F.transform(F.filter("ends", lambda b: b["i"] > a["i"]), lambda b: F.struct(a["i"].alias("i"), F.hash(a["t"], b["t"]).alias("t")))))
+    lead = able.select("sid", "n", *SIGNED, doc, F.explode(F.array(ends)).alias("ends")).select("sid", "n", *SIGNED, "doc", F.explode(two).alias("x")).select("sid", "n", *SIGNED, "doc", "x.i", "x.t")
     crowds = lead.groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select(F.col("t").alias("u"))
     crowds = materialize(crowds, "line-crowds")
     lead = materialize(lead.join(crowds, F.col("t") == F.col("u"), "left_semi"), "line-lead")

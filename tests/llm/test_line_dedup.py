@@ -96,3 +96,14 @@ def test_a_crowd_of_lines_not_quite_alike_makes_few_candidates(spark, monkeypatc
     monkeypatch.setattr(line_dedup, "verified", lambda pairs, *a: made.append(pairs.count()) or verified(pairs, *a))
     check(df, line_dedup.summary(df))
     assert made[-1] < 100
+
+
+def test_words_that_many_unlike_lines_share_make_no_crowd(spark, monkeypatch):
+    """Each of the three rarest words of a line is in 80 lines, any two of them together in few: no line is compared early."""
+    rng = random.Random(4)
+    rows = [(d, " ".join([f"{pool}{rng.randrange(5)}" for pool in "abc"] + rng.sample([f"common{k}" for k in range(14)], 7))) for d in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    early, write = [], line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda t, tag, **o: (out := write(t, tag, **o), early.append(out.count()) if tag == "line-lead" else None)[0])
+    check(df, line_dedup.summary(df))
+    assert early == [0]  # 1,200 before
